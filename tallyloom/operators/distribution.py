@@ -34,30 +34,27 @@ def histogram(df: DataFrame, metric: str, format_type: str | None = None,
             F.min(F.col("v") == F.floor("v")).alias("whole"),
         ).alias("r")
     ).scalar()
-    step = (range_["high"] - range_["low"]) / range_["bins"]
+    range_column = range_.alias("r")
+    size = F.col("r.bins")
+    step = (F.col("r.high") - F.col("r.low")) / size
 
     def edge(i):
-        return F.when(F.lit(i) == range_["bins"], range_["high"]).otherwise(
-            F.lit(float(i)) * step + range_["low"]
-        )
+        return F.when(F.lit(i) == size, F.col("r.high")).otherwise(i * step + F.col("r.low"))
 
-    at_least = [F.count_if(F.col("v") >= edge(i)) for i in range(1, BINS)]
-    totals = values.agg(F.count("v").alias("n"), F.array(*at_least).alias("above"))
-    starts = F.concat(F.array(F.col("n")), F.col("above"))
+    at_least = [F.count_if(F.col("v") >= edge(F.lit(i))) for i in range(1, BINS)]
+    totals = values.select("v", range_column).agg(
+        F.count("v").alias("n"), F.array(*at_least).alias("above"))
     bins = totals.filter(F.col("n") > 0).select(
-        starts.alias("starts"), F.explode(F.sequence(F.lit(1), range_["bins"])).alias("position")
-    )
+        F.concat(F.array("n"), "above").alias("starts"), range_column
+    ).withColumn("position", F.explode(F.sequence(F.lit(1), size)))
     place = F.col("position")
-    ends = F.when(place == range_["bins"], F.lit(0)).otherwise(F.get("starts", place))
-    first = (place - 1).cast("double") * step + range_["low"]
-    after = F.when(place == range_["bins"], range_["high"]).otherwise(
-        place.cast("double") * step + range_["low"]
-    )
-    counted = bins.select("position", (F.get("starts", place - 1) - ends).alias("value"),
-                          first.alias("range_min"), after.alias("range_max"))
+    ends = F.when(place == size, F.lit(0)).otherwise(F.get("starts", place))
+    counted = bins.select(
+        "position", (F.get("starts", place - 1) - ends).alias("value"), "r",
+        edge(place - 1).alias("range_min"), edge(place).alias("range_max"))
 
     def label(bound):
-        return F.when(range_["whole"], whole_number(F.col(bound))).otherwise(
+        return F.when(F.col("r.whole"), whole_number(F.col(bound))).otherwise(
             display_number(clean_number(F.col(bound)), format_type, unit)
         )
 

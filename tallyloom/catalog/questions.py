@@ -143,7 +143,8 @@ def question_context(t):
 @query("G3 G4 G7", f"""
     WITH b AS (SELECT conv_id, turn, lower(trim(text)) AS q FROM conversations)
     SELECT conv_id, turn, {_FOLLOW} AS is_follow_up, ({_any(OVERVIEW_WORDS)}) AS is_overview,
-           regexp_matches(q, '{RANKED_PATTERN}') AS is_ranked FROM b""")
+           regexp_matches(q, '(?:^|[^\\pL\\pN_])(top|bottom|best|worst|highest|lowest)\\d*(?:$|[^\\pL\\pN_])')
+               AS is_ranked FROM b""")
 def conversation_tags(t):
     tagged = tag_questions(t.conversations)
     return tagged.select("conv_id", "turn", "is_follow_up", "is_overview",

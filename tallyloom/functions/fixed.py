@@ -15,7 +15,8 @@ SYNONYM_SHARE = 0.3
 DATE_NAME_WORDS = ["date", "time", "year", "month", "day", "timestamp", "period"]
 DATE_SHARE = 0.8
 DATE_SHARE_WITH_NAME = 0.5
-# shape of the text, and the datetime pattern that reads it
+# length of the text, its shape, and the datetime pattern that reads it
+DATE_LENGTHS = (4, 26)
 DATE_FORMATS = [
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
     (r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?$", None),

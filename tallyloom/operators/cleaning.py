@@ -41,8 +41,8 @@ def duplicate_report(df: DataFrame) -> DataFrame:
     ).withColumn("duplicates_removed", F.col("rows_before") - F.col("rows_after"))
 
 
-def date_columns(df: DataFrame) -> DataFrame:
-    """(column, parsed_share, is_date): columns of a time type, and text of which 80 % reads as a
+def date_facts(df: DataFrame) -> dict[str, dict[str, Column]]:
+    """Aggregates that tell date columns: those of a time type, and text of which 80 % reads as a
     date, or 50 % when the name speaks of time. All rows count, not a sample."""
     facts = {}
     for name in time_columns(df):
@@ -53,6 +53,12 @@ def date_columns(df: DataFrame) -> DataFrame:
         named = any(word in name.lower() for word in DATE_NAME_WORDS)
         needed = DATE_SHARE_WITH_NAME if named else DATE_SHARE
         facts[name] = {"parsed_share": share, "is_date": share >= needed}
+    return facts
+
+
+def date_columns(df: DataFrame) -> DataFrame:
+    """(column, parsed_share, is_date) of the time and text columns."""
+    facts = date_facts(df)
     if not facts:
         return df.sparkSession.createDataFrame(
             [], "column string, parsed_share double, is_date boolean")

@@ -21,13 +21,14 @@ def _cells(df: DataFrame, first: str, second: str, metric: str, func: str) -> Da
     require(df, first, second, metric)
     rows = df.select(ref(first).alias("dim1"), ref(second).alias("dim2"),
                      ref(metric).alias("metric")).na.drop()
+    rows = rows.filter(F.col("dim1").isNotNull() & F.col("dim2").isNotNull())
     if func == "median":
         found = percentiles(rows, "metric", [0.5], ["dim1", "dim2"])
         return found.select("dim1", "dim2", "n", F.get("quantiles", F.lit(0)).alias("value"))
-    cells = rows.groupBy("dim1", "dim2").agg(
-        F.count("metric").alias("n"), measure(func, F.col("metric")).alias("value")
-    )
-    # every cell has rows; naming the value here keeps all readers on the same exchange
+    value = F.sum("metric") if func == "sum" else measure(func, F.col("metric"))
+    cells = rows.groupBy("dim1", "dim2").agg(F.count("metric").alias("n"), value.alias("value"))
+    # every cell has rows; naming the value here, and the dimensions above as the joins will do,
+    # keeps all readers on the same exchange
     return cells.filter((F.col("n") > 0) & F.col("value").isNotNull())
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import as_number, clean_number, ref, require
 from tallyloom.functions.display import display_number, whole_number
-from tallyloom.operators.filters import keep_top_values
+from tallyloom.operators.filters import top_values
 from tallyloom.operators.ordered import ROWS_IN_MEMORY, percentiles
 from tallyloom.sources.preview import sample_rows
 
@@ -84,14 +84,13 @@ def box_stats(df: DataFrame, metric: str, dimension: str | None = None,
     shares = [0.25, 0.5, 0.75]
     values = df.filter(ref(metric).isNotNull())
     if dimension:
-        top = keep_top_values(
-            values.select(ref(dimension).alias("name"), ref(metric).alias("metric")),
-            "name", BOX_GROUPS,
-        )
-        boxes = _summary(percentiles(top, "metric", shares, ["name"], rows_in_memory),
-                         F.col("name").cast("string"))
-        if not boxes.isEmpty():
-            return boxes
+        pairs = values.select(ref(dimension).alias("name"), ref(metric).alias("metric"))
+        # at most five values reach the driver, and go back to the scan as a filter
+        top = top_values(pairs, "name", BOX_GROUPS).filter(F.col("n") >= BOX_LEAST_ROWS).collect()
+        if top:
+            kept = pairs.filter(F.col("name").isin([r["name"] for r in top]))
+            found = percentiles(kept, "metric", shares, ["name"], rows_in_memory)
+            return _summary(found, F.col("name").cast("string"))
     return _summary(percentiles(values, metric, shares, None, rows_in_memory), F.lit(metric))
 
 

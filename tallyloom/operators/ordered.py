@@ -18,7 +18,7 @@ from tallyloom.functions.columns import as_number, ref, require
 from tallyloom.operators.staging import stage
 
 SAMPLE_PER_BLOCK = 20
-ROWS_IN_MEMORY = 1_000_000
+ROWS_IN_MEMORY = 3_000_000
 
 
 def _sorted_key(order: list[str]) -> Column:
@@ -50,28 +50,17 @@ def block_count(df: DataFrame) -> int:
 
 def with_block(df: DataFrame, order: list[str], blocks: int | None = None) -> DataFrame:
     """Add ``_block``, the number of split points at or before the row: a binary search written
-    as one small expression per halving."""
+    as one small expression per halving. Each reads the same one-value subquery, so the split
+    points are never copied into rows."""
     require(df, *order)
     blocks = blocks or block_count(df)
-    out = df.withColumns({
-        "_cuts": split_points(df, order, blocks),
-        "_key": _sorted_key(order),
-        "_block": F.lit(0),
-    })
-    step = 1 << max(0, (blocks - 1).bit_length() - 1)
-    while step:
-        ahead = F.col("_block") + F.lit(step)
-        passed = F.get("_cuts", ahead - 1) <= F.col("_key")
+    cuts, key = split_points(df, order, blocks), _sorted_key(order)
+    out = df.withColumn("_block", F.lit(0))
+    for bit in reversed(range((blocks - 1).bit_length())):
+        ahead = F.col("_block") + F.lit(1 << bit)
+        passed = F.get(cuts, ahead - 1) <= key
         out = out.withColumn("_block", F.when(passed, ahead).otherwise(F.col("_block")))
-        step >>= 1
-    return out.drop("_cuts", "_key")
-
-
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    match = F.lit(True)
-    for name in names:
-        match = match & left[f"`{name}`"].eqNullSafe(right[f"`{name}`"])
-    return match
+    return out
 
 
 def _attach(rows: DataFrame, carried: DataFrame, by: list[str]) -> DataFrame:
@@ -165,7 +154,7 @@ def percentiles(
     by = list(by or [])
     require(df, column, *by)
     values = df.select(*[ref(b) for b in by], as_number(df, column).alias("_value"))
-    if values.limit(rows_in_memory + 1).count() <= rows_in_memory:
+    if values.count() <= rows_in_memory:
         return values.groupBy(*by).agg(
             F.count("_value").alias("n"),
             F.min("_value").alias("lowest"),

@@ -11,7 +11,7 @@ from tallyloom.functions.fixed import (
     CALENDAR_PART_PATTERN, DEMOGRAPHIC_WORDS, FINANCIAL_WORDS, GEO_WORDS, IDENTIFIER_NAMES,
     IDENTIFIER_PATTERN, KNOWN_COUNTRIES, KPI_WORDS, RATING_WORDS, TARGET_WORDS,
 )
-from tallyloom.operators.cleaning import date_columns, per_column, value_counts
+from tallyloom.operators.cleaning import date_facts, per_column, value_counts
 from tallyloom.operators.ordered import ROWS_IN_MEMORY, column_percentiles
 
 SAMPLES = 3
@@ -32,8 +32,10 @@ def table_size(df: DataFrame) -> DataFrame:
 
 
 def column_facts(df: DataFrame) -> DataFrame:
-    """(column, position, type, missing_pct, mean, std, min, max), one scan for all columns."""
+    """(column, position, type, missing_pct, mean, std, min, max, is_date), one scan for all
+    columns."""
     facts = {}
+    dates = date_facts(df)
     nothing = F.lit(None).cast("double")
     for position, field in enumerate(df.schema):
         value = ref(field.name)
@@ -50,6 +52,8 @@ def column_facts(df: DataFrame) -> DataFrame:
                 F.coalesce(func(value.cast("double")), F.lit(0.0))
                 if is_number(field.dataType) else nothing
             )
+        date = dates.get(field.name)
+        row["is_date"] = date["is_date"] if date else F.lit(False)
         facts[field.name] = row
     return per_column(df, facts)
 
@@ -125,8 +129,6 @@ def profile(
     numbers, texts = number_columns(df), text_columns(df)
     found = column_facts(df)
     found = found.join(F.broadcast(distinct_values(df)), "column", "left")
-    found = found.join(
-        F.broadcast(date_columns(df).select("column", "is_date")), "column", "left")
     if numbers:
         middle = column_percentiles(df, numbers, [0.5], rows_in_memory).select(
             "column", F.coalesce(F.get("quantiles", F.lit(0)), F.lit(0.0)).alias("median"))
@@ -134,7 +136,6 @@ def profile(
     else:
         found = found.withColumn("median", F.lit(None).cast("double"))
     found = found.withColumns({
-        "is_date": F.coalesce("is_date", F.lit(False)),
         "unique_count": F.coalesce("unique_count", F.lit(0)),
         "_number": F.col("column").isin(numbers) if numbers else F.lit(False),
         "_text": F.col("column").isin(texts) if texts else F.lit(False),
@@ -150,11 +151,11 @@ def kpi_columns(profiled: DataFrame) -> DataFrame:
     """(rank, column, kpi_confidence): the columns that measure something, the surest first, in
     table order on ties. A table without any falls back to its other number columns."""
     place = F.row_number().over(Window.orderBy(F.desc("kpi_confidence"), "position")).cast("int")
-    sure = profiled.filter(F.col("kpi_confidence") > 0)
-    other = profiled.filter(F.col("kpi_confidence") == 0)
-    other = other.filter(F.col("semantic_role") != "identifier").withColumn(
-        "_none_sure", sure.agg(F.count(F.lit(1)) == 0).scalar())
-    chosen = sure.unionByName(other.filter("_none_sure").drop("_none_sure"))
+    numbers = profiled.filter(F.col("kpi_confidence").isNotNull())
+    some_sure = F.max(F.col("kpi_confidence") > 0).over(Window.partitionBy())
+    other = ~F.col("some_sure") & (F.col("semantic_role") != "identifier")
+    chosen = numbers.withColumn("some_sure", some_sure).filter(
+        (F.col("kpi_confidence") > 0) | other)
     return chosen.select(place.alias("rank"), "column", "kpi_confidence")
 
 

@@ -2,8 +2,6 @@
 values, follow-ups."""
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +15,23 @@ from tallyloom.operators.ordered import forward_fill
 from tallyloom.operators.series import DEFAULT_TOP, latest_entries
 
 
+# word boundaries, digits and blanks of all scripts
+_ANY_SCRIPT = "(?U)"
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    return text.rlike(_ANY_SCRIPT + pattern)
+
+
 def _contains_any(text: Column, words: list[str]) -> Column:
-    return text.rlike("|".join(re.escape(w) for w in words))
+    found = F.lit(False)
+    for word in words:
+        found = found | F.contains(text, F.lit(word))
+    return found
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return F.nullif(F.regexp_extract(text, _ANY_SCRIPT + pattern, group), F.lit(""))
 
 
 def time_range(text: Column) -> Column:
@@ -36,7 +45,7 @@ def time_range(text: Column) -> Column:
             year = _part(text, pattern, 1).try_cast("int")
         tag = F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("n"),
                        unit.cast("string").alias("unit"), year.cast("int").alias("year"))
-        found = F.when(text.rlike(pattern), tag).otherwise(found)
+        found = F.when(_matches(text, pattern), tag).otherwise(found)
     return found
 
 
@@ -45,15 +54,15 @@ def comparison(text: Column) -> Column:
     announced, NULL as a whole without one."""
     tag = F.struct(_part(text, COMPARE_PAIR_PATTERN, 1).alias("left"),
                    _part(text, COMPARE_PAIR_PATTERN, 2).alias("right"))
-    return F.when(text.rlike(COMPARE_PATTERN), tag)
+    return F.when(_matches(text, COMPARE_PATTERN), tag)
 
 
 def ranking(text: Column) -> Column:
     """struct(direction, n) of the first top or bottom word; n is 5 when not given."""
-    word = F.regexp_extract(text, RANKED_PATTERN, 1)
+    word = F.regexp_extract(text, _ANY_SCRIPT + RANKED_PATTERN, 1)
     n = F.coalesce(_part(text, RANKED_PATTERN, 2).try_cast("int"), F.lit(DEFAULT_TOP))
     direction = F.when(word.isin(TOP_WORDS), "top").otherwise("bottom")
-    return F.when(text.rlike(RANKED_PATTERN),
+    return F.when(_matches(text, RANKED_PATTERN),
                   F.struct(direction.alias("direction"), n.alias("n")))
 
 
@@ -87,7 +96,7 @@ def mentioned_values(text: Column, values: dict[str, list[str]]) -> Column:
 
 def follow_up(text: Column) -> Column:
     """Short questions and those that point back."""
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(text, _ANY_SCRIPT + r"\s+"), lambda w: w != ""))
     starts = F.lit(False)
     for opening in FOLLOW_UP_STARTS:
         starts = starts | F.startswith(text, F.lit(opening))

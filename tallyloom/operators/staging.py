@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,25 +11,26 @@ BROADCAST_ROWS = 200_000
 SALTS = 64
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a folder of its own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share. Only a local
+    session without that setting gets a folder of its own."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
         folder = tempfile.mkdtemp(prefix="tallyloom-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Compute once, keep in the shared folder, read from there: later passes do not repeat the
-    work and survive the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once, write to the shared folder, read from there: later passes do not repeat the
+    work, read only the columns they need, and survive the loss of executors. The folder is the
+    caller's to clear when the results are no longer needed."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tallyloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup(
@@ -38,12 +40,12 @@ def lookup(
     size is broadcast. A larger one is joined by shuffle with each key spread over salts, so a
     value held by a large part of the rows does not end up in one task."""
     left = df.withColumn("_on", on)
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if table.count() <= broadcast_rows:
         joined = left.join(F.broadcast(table), F.col("_on") == F.col(key), "left")
         return joined.drop("_on", key)
-    spread = left.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS))
-    )
+    # the task number tells apart copies of one row that lie in different parts of the input
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.spark_partition_id())
+    spread = left.withColumn("_salt", F.pmod(content, F.lit(SALTS)))
     copies = table.withColumn(
         "_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint")
     )

@@ -1,8 +1,9 @@
 """Row filters: comparisons, value filters, time ranges counted from the latest date, and the
 values with most rows.
 
-Time ranges are half-open bounds on the bare column. The bounds are subqueries over the latest
-date, which Spark computes first and hands to the Parquet scan as pushed filters."""
+Time ranges are half-open bounds on the bare column. The bounds come from the latest date, one
+row found by one small job, so they are literals that reach the Parquet scan as pushed filters and
+prune partitions."""
 from __future__ import annotations
 
 from functools import reduce
@@ -134,15 +135,16 @@ def time_filter(
     require(df, column)
     moment, data_type = as_time(df, column), time_type(df, column)
     bounds = time_bounds(F.max(moment), kind, n, unit, year)
+    if kind != "year":  # a year is known without looking
+        texts = [F.lit(None) if b is None else b.cast(data_type).cast("string") for b in bounds]
+        found = df.agg(F.max(moment).isNull().alias("unknown"), F.array(*texts).alias("bounds")).first()
+        if found["unknown"]:
+            return df
+        bounds = [None if b is None else F.lit(b) for b in found["bounds"]]
     condition = F.lit(True)
     for bound, op in zip(bounds, (">=", "<")):
         if bound is not None:
-            # a year is known beforehand; the other bounds are found in the data
-            edge = (
-                bound.cast(data_type) if kind == "year"
-                else df.agg(bound.cast(data_type).alias("bound")).scalar()
-            )
-            condition = condition & _COMPARE[op](moment, edge)
+            condition = condition & _COMPARE[op](moment, bound.cast(data_type))
     return _unless_empty(df.filter(condition), df, on_empty)
 
 

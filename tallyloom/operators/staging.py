@@ -47,7 +47,7 @@ def lookup(
     content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.spark_partition_id())
     spread = left.withColumn("_salt", F.pmod(content, F.lit(SALTS)))
     copies = table.withColumn(
-        "_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint")
+        "_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
     )
     joined = spread.join(
         copies.hint("merge"),

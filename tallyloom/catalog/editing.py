@@ -118,8 +118,10 @@ _UNITS = {"plain": {}, "small": {}, "large": {"format_type": "currency"}, "huge"
 @query("P8", "WITH e AS (SELECT event_id, value FROM events) SELECT event_id, " + ", ".join(
     f"{sql_display(f'round({e}, 4)', **o)} AS {n}" for n, (e, o) in _DISPLAYED.items()) + " FROM e")
 def numbers_displayed(t):
-    return t.events.select("event_id", *[
-        display_number(clean_number(F.expr(e)), **_UNITS[n]).alias(n) for n, (e, _) in _DISPLAYED.items()])
+    numbers = t.events.select("event_id", *[
+        clean_number(F.expr(e)).alias(n) for n, (e, _) in _DISPLAYED.items()])
+    return numbers.select("event_id", *[
+        display_number(F.col(n), **_UNITS[n]).alias(n) for n in _DISPLAYED])
 
 
 def _gaps(t):

@@ -8,7 +8,8 @@ from tallyloom.catalog.distributions import _histogram_sql
 from tallyloom.operators.forecasting import (
     fit_trend, forecast, forecast_summary, forecast_table, recent_periods,
 )
-from tallyloom.operators.profiling import profile
+from tallyloom.operators.filters import time_filter
+from tallyloom.operators.profiling import column_facts
 from tallyloom.operators.quality import quality_score
 from tallyloom.plans.overview import key_figures, overview
 
@@ -65,8 +66,6 @@ def forecast_by_event_type(t):
 
 @query("K3 K4", _forecast_sql(_MONTHS, _MONTH, None))
 def forecast_by_month(t):
-    from tallyloom.operators.filters import time_filter
-
     recent = time_filter(t.orders, "o_orderdate", "last_n", 1, "year")
     return forecast_table(recent, "o_orderdate", "o_totalprice")
 
@@ -105,7 +104,7 @@ def forecast_summary_by_status(t):
            100.0::DOUBLE AS data_quality FROM v""")
 def key_figures_of_orders(t):
     figures = key_figures(t.orders, "o_totalprice", second="o_custkey", second_func="distinct",
-                          quality=quality_score(profile(t.orders)), format_type="currency")
+                          quality=quality_score(column_facts(t.orders)), format_type="currency")
     return rounded(figures, "value")
 
 

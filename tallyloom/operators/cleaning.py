@@ -172,11 +172,14 @@ def spelling_report(spelled: DataFrame, examples: int = 5) -> DataFrame:
     )
 
 
-def apply_spellings(df: DataFrame, spelled: DataFrame) -> DataFrame:
+def changed_spellings(spelled: DataFrame) -> DataFrame:
+    """The values that change, kept for the report and the replacement."""
+    return stage(spelled.filter(F.col("value") != F.col("final")))
+
+
+def apply_spellings(df: DataFrame, changed: DataFrame) -> DataFrame:
     """Replace changed values. Only values that change are looked up, and only in the columns
     that have some."""
-    changed = stage(spelled.filter(F.col("value") != F.col("final")).select(
-        "column", "value", "final"))
     out = df
     for name in [r["column"] for r in changed.select("column").distinct().collect()]:
         table = changed.filter(F.col("column") == name).select(
@@ -191,7 +194,10 @@ def normalize_categories(df: DataFrame, columns: list[str] | None = None,
     """One spelling per category in the text columns."""
     columns = text_columns(df) if columns is None else columns
     require(df, *columns)
-    return apply_spellings(df, spellings(value_counts(df, columns), synonyms)) if columns else df
+    if not columns:
+        return df
+    spelled = spellings(value_counts(df, columns), synonyms)
+    return apply_spellings(df, changed_spellings(spelled))
 
 
 def outlier_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

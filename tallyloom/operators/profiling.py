@@ -122,14 +122,17 @@ def profile(
     kpi_words: list[str] | None = None,
     geo_words: list[str] | None = None,
     rows_in_memory: int = ROWS_IN_MEMORY,
+    medians: bool = True,
 ) -> DataFrame:
     """One row per column: position, column, type, missing_pct, unique_count, sample_values,
     mean, std, min, max, median, semantic_role, default_aggregation, kpi_confidence,
-    geo_confidence. The parts are joined on the column name, one row per column each."""
+    geo_confidence. The parts are joined on the column name, one row per column each. Without
+    ``medians`` their pass is left out. A very large table can be profiled from
+    ``sample_rows(df, 200_000, key)``."""
     numbers, texts = number_columns(df), text_columns(df)
     found = column_facts(df)
     found = found.join(F.broadcast(distinct_values(df)), "column", "left")
-    if numbers:
+    if numbers and medians:
         middle = column_percentiles(df, numbers, [0.5], rows_in_memory).select(
             "column", F.coalesce(F.get("quantiles", F.lit(0)), F.lit(0.0)).alias("median"))
         found = found.join(F.broadcast(middle), "column", "left")

@@ -29,7 +29,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
 
 
 def quality_score(profiled: DataFrame) -> DataFrame:
-    """100 minus the mean share of missing values."""
+    """100 minus the mean share of missing values, from a profile or from ``column_facts``."""
     return profiled.agg(F.round(100 - F.avg("missing_pct"), 1).alias("quality_score"))
 
 

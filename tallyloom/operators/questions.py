@@ -13,6 +13,7 @@ from tallyloom.functions.fixed import (
 )
 from tallyloom.operators.ordered import forward_fill
 from tallyloom.operators.series import DEFAULT_TOP, latest_entries
+from tallyloom.operators.staging import stage
 
 
 # word boundaries, digits and blanks of all scripts
@@ -132,8 +133,9 @@ def carry_context(tagged: DataFrame, session: list[str], order_by: list[str]) ->
     """Follow-ups take over the time, metrics, dimensions and filters they do not name, from the
     questions before them up to the last one that stood on its own. A tag that is carried is a
     forward fill of the tag wrapped in a struct: a question that stands on its own always has
-    one, so it also stops what came before."""
-    wrapped = {}
+    one, so it also stops what came before. The tags are kept first: finding them costs more than
+    reading them twice."""
+    tagged, wrapped = stage(tagged), {}
     for name in CARRIED:
         named = ref(name).isNotNull() if name == "time" else F.size(name) > 0
         wrapped[f"_{name}"] = F.when(~F.col("is_follow_up") | named, F.struct(ref(name).alias("x")))

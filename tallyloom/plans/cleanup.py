@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 from tallyloom.functions.columns import number_columns, ref, text_columns
 from tallyloom.functions.fixed import ORDER_CORRELATION
 from tallyloom.operators.cleaning import (
-    apply_spellings, clip_to_percentiles, date_columns, drop_duplicate_rows, medians,
-    missing_report, most_frequent, outlier_counts, spelling_report, spellings, value_counts,
+    apply_spellings, changed_spellings, clip_to_percentiles, date_columns, drop_duplicate_rows,
+    medians, missing_report, most_frequent, outlier_counts, spelling_report, spellings, value_counts,
 )
 from tallyloom.operators.ordered import ROWS_IN_MEMORY, forward_fill, order_correlation
 from tallyloom.operators.profiling import is_identifier_name
@@ -86,13 +86,14 @@ def clean(
             here = (F.col("column") == name) & (F.col("value") == value)
             extra = F.when(here, F.lit(missing[name]["missing"])).otherwise(extra)
         with_fills = counts.withColumn("n", F.col("n") + extra)
-        spelled = stage(spellings(with_fills.filter(F.col("column").isin(texts)), synonyms))
-        for row in spelling_report(spelled).collect():
+        changed = changed_spellings(
+            spellings(with_fills.filter(F.col("column").isin(texts)), synonyms))
+        for row in spelling_report(changed).collect():
             note(row["column"], "categories", "normalized", row["values_normalized"])
             for example in row["examples"]:
                 old, new = example.split(" -> ", 1)
                 note(row["column"], "example", "normalized", 1, old, new)
-        filled = apply_spellings(filled, spelled)
+        filled = apply_spellings(filled, changed)
 
     if forward:
         filled = stage(filled)

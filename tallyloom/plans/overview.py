@@ -55,7 +55,7 @@ def overview(
     """The default results of a table as one long table (result, position, name, value, share):
     trend, breakdown, share, histogram, and scatter or second breakdown. ``roles`` come from the
     profile when not given. Each result reads only its own columns."""
-    roles = roles or column_roles(profile(df))
+    roles = roles or column_roles(profile(df, medians=False))
     metric = (roles["kpis"] or [None])[0]
     dates, categories, numbers = roles["dates"], roles["categories"], roles["numbers"]
     func = default_aggregation(metric or "")

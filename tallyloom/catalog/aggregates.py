@@ -1,6 +1,7 @@
 """Aggregates, counts of distinct rows and values, top rows."""
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,8 +11,9 @@ from tallyloom.catalog.registry import query, rounded
 from tallyloom.operators.aggregate import aggregate
 from tallyloom.operators.cleaning import drop_duplicate_rows, duplicate_report
 from tallyloom.operators.filters import keep_top_values, top_values
+from tallyloom.operators.staging import shared_folder
 from tallyloom.sources.preview import preview_page, sample_records, sample_rows
-from tallyloom.sources.tables import union_tables
+from tallyloom.sources.tables import read_table, union_tables, write_table
 
 
 def _by_flag(t, metric, func, places=4):
@@ -181,3 +183,14 @@ def first_records(t):
 @query("S8")
 def repeatable_sample(t):
     return sample_rows(t.lineitem, 2000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
+@query("S1 S3 S4 S5", """
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+def exported_and_read_back(t):
+    """CSV out to the shared folder and in again, with the types given."""
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                           "o_orderpriority")
+    path = f"{shared_folder(t.spark)}/tallyloom/{uuid.uuid4().hex}_cleaned.csv"
+    write_table(rows, path)
+    return read_table(t.spark, path, schema=rows.schema)

@@ -151,3 +151,10 @@ def number_text_parsed(t):
     texts = t.part.select("p_partkey", F.when(F.col("p_type") == "ECONOMY", F.col("p_brand"))
                           .otherwise(F.regexp_extract("p_brand", r"\d+", 0)).alias("code"))
     return parse_number_column(texts, "code")
+
+
+@query("F13", "SELECT o_orderkey, o_orderpriority FROM orders")
+def time_without_dates(t):
+    """A column without any date filters nothing."""
+    rows = t.orders.select("o_orderkey", "o_orderpriority")
+    return time_filter(rows, "o_orderpriority", "last_year")

@@ -40,15 +40,16 @@ def histogram_prices(t):
     return _edges(histogram(t.lineitem, "l_extendedprice"))
 
 
-@query("A15", _histogram_sql("nation", "n_regionkey", 5, True))
+@query("A15", _histogram_sql(
+    "(SELECT count(*) AS k FROM orders GROUP BY year(o_orderdate))", "k", 5, True))
 def histogram_of_few_rows(t):
-    return _edges(histogram(t.nation, "n_regionkey"))
+    years = t.orders.groupBy(F.year("o_orderdate")).agg(F.count(F.lit(1)).alias("k"))
+    return _edges(histogram(years, "k"))
 
 
-@query("A15", _histogram_sql("(SELECT DISTINCT n_regionkey // 10 + 7 AS k, n_name FROM nation)", "k", 3, True))
+@query("A15", _histogram_sql("(SELECT length(o_orderstatus) AS k FROM orders)", "k", 6, True))
 def histogram_of_constant(t):
-    constant = t.nation.select((F.floor(F.col("n_regionkey") / 10) + 7).alias("k"))
-    return _edges(histogram(constant, "k"))
+    return _edges(histogram(t.orders.select(F.length("o_orderstatus").alias("k")), "k"))
 
 
 @query("A15 F16", _histogram_sql(

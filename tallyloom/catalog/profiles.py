@@ -36,7 +36,7 @@ def _facts_sql(position: int, column: str, kind: str, number: bool) -> str:
         (f"round(coalesce({f}({column}), 0), 6) AS {n}" if number else f"NULL AS {n}")
         for f, n in [("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max")])
     return (f"SELECT CAST({position} AS INTEGER) AS position, '{column}' AS \"column\", '{kind}' AS type, "
-            f"round((count(*) - count({column})) * 100.0 / count(*), 2)::DOUBLE AS missing_pct, {stats} FROM r")
+            f"round((count(*) - count({column})) * 100.0 / count(*), 2)::DOUBLE AS missing_pct, {stats}, FALSE AS is_date FROM r")
 
 
 @query("Q2 Q5", f"WITH r AS ({_GAPS}) " + " UNION ALL ".join([

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import nan_to_null, ref, require
+from tallyloom.operators.ordered import row_positions
 
 # --- fixed values: preview ----------------------------------------------------------------
 PAGE_SIZE, LARGEST_PAGE = 50, 500
@@ -25,11 +26,19 @@ def preview_page(
     df: DataFrame, order_by: list[str], page: int = 1, page_size: int = PAGE_SIZE
 ) -> tuple[DataFrame, dict]:
     """One page of rows in the order of ``order_by``, and the page facts. The count that clamps
-    the page is one job; the page itself is a top-k, not a full sort."""
+    the page is one job. An early page is a top-k, not a full sort; a far one is found by row
+    number, so that the rows before it do not meet in one task."""
     require(df, *order_by)
     total = df.count()
     shown, size, pages = page_numbers(total, page, page_size)
-    rows = nan_to_null(df.orderBy(*order_by).offset((shown - 1) * size).limit(size))
+    skipped = (shown - 1) * size
+    if skipped <= TOP_K_ROWS * LARGEST_PAGE:
+        rows = df.orderBy(*order_by).offset(skipped).limit(size)
+    else:
+        place = F.col("_position")
+        rows = row_positions(df, order_by, "_position").filter(
+            (place > skipped) & (place <= skipped + size)).orderBy("_position").drop("_position")
+    rows = nan_to_null(rows)
     facts = {"total_rows": total, "page": shown, "page_size": size, "total_pages": pages}
     return rows, facts
 

@@ -121,6 +121,8 @@ def test_previews(spark):
     df = spark.range(120)
     rows, facts = preview_page(df, ["id"], page=9, page_size=50)
     assert [r[0] for r in rows.collect()] == list(range(100, 120)) and facts["page"] == 3
+    far, _ = preview_page(spark.range(600_000), ["id"], page=12_000, page_size=50)
+    assert [r[0] for r in far.collect()] == list(range(599_950, 600_000))
     assert page_numbers(0, 4, 10) == (1, 10, 0) and page_numbers(5000, -1, 9999) == (1, 500, 10)
     big = spark.range(20_000)
     chosen = sample_rows(big, 1500, ["id"])

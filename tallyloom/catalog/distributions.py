@@ -7,7 +7,7 @@ from tallyloom.catalog.registry import query, sql_display
 from tallyloom.operators.distribution import box_stats, first_pairs, histogram, scatter_pairs
 
 
-def _histogram_sql(table: str, column: str, bins: int, whole: bool) -> str:
+def histogram_sql(table: str, column: str, bins: int, whole: bool) -> str:
     bound = "format('{{:,}}', CAST(round_even({0}, 0) AS BIGINT))"
     low, high = ((bound.format("lo"), bound.format("hi")) if whole else
                  (sql_display("round(lo, 4)"), sql_display("round(hi, 4)")))
@@ -30,29 +30,29 @@ def _edges(shown):
     return shown.withColumns({c: F.round(c, 6) for c in ("range_min", "range_max")})
 
 
-@query("A15 A16", _histogram_sql("lineitem", "l_quantity", 6, True))
+@query("A15 A16", histogram_sql("lineitem", "l_quantity", 6, True))
 def histogram_whole_numbers(t):
     return _edges(histogram(t.lineitem, "l_quantity"))
 
 
-@query("A15", _histogram_sql("lineitem", "l_extendedprice", 6, False))
+@query("A15", histogram_sql("lineitem", "l_extendedprice", 6, False))
 def histogram_prices(t):
     return _edges(histogram(t.lineitem, "l_extendedprice"))
 
 
-@query("A15", _histogram_sql(
+@query("A15", histogram_sql(
     "(SELECT count(*) AS k FROM orders GROUP BY year(o_orderdate))", "k", 5, True))
 def histogram_of_few_rows(t):
     years = t.orders.groupBy(F.year("o_orderdate")).agg(F.count(F.lit(1)).alias("k"))
     return _edges(histogram(years, "k"))
 
 
-@query("A15", _histogram_sql("(SELECT length(o_orderstatus) AS k FROM orders)", "k", 6, True))
+@query("A15", histogram_sql("(SELECT length(o_orderstatus) AS k FROM orders)", "k", 6, True))
 def histogram_of_constant(t):
     return _edges(histogram(t.orders.select(F.length("o_orderstatus").alias("k")), "k"))
 
 
-@query("A15 F16", _histogram_sql(
+@query("A15 F16", histogram_sql(
     "(SELECT TRY_CAST(substr(p_brand, 7) AS DOUBLE) AS k FROM part)", "k", 6, True))
 def histogram_of_text_numbers(t):
     return _edges(histogram(t.part.select(F.substring("p_brand", 7, 9).alias("k")), "k"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.catalog.registry import query, rounded, sql_display, sql_ranked, sql_share
-from tallyloom.catalog.distributions import _histogram_sql
+from tallyloom.catalog.distributions import histogram_sql
 from tallyloom.operators.forecasting import (
     fit_trend, forecast, forecast_summary, forecast_table, recent_periods,
 )
@@ -133,7 +133,7 @@ def _group_sql(column: str) -> str:
     UNION ALL SELECT 'breakdown', position, name, value, percentage FROM ({_group_sql('o_orderstatus')})
     UNION ALL SELECT 'share', position, name, value, percentage FROM ({_group_sql('o_orderpriority')})
     UNION ALL SELECT 'histogram', position, name, value::DOUBLE, NULL
-        FROM ({_histogram_sql('orders', 'o_totalprice', 6, False)})
+        FROM ({histogram_sql('orders', 'o_totalprice', 6, False)})
     UNION ALL SELECT 'scatter', position, fx || ' / ' || fy, y, NULL FROM (
         SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS INTEGER) AS position,
                {sql_display('o_orderkey::DOUBLE')} AS fx, {sql_display('o_custkey::DOUBLE')} AS fy,

@@ -19,7 +19,8 @@ def affixes(format_type: str | None = None, unit: str | None = None) -> tuple[st
     return "", (f" {unit}" if len(unit) > 1 else unit), False
 
 
-def _plain(value: Column, places: int) -> Column:
+def plain_number(value: Column, places: int) -> Column:
+    """A number with fixed decimals and no separators, halves to even."""
     return F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
 
 
@@ -36,12 +37,12 @@ def display_number(
     number, size = value.cast("double"), F.abs(value.cast("double"))
     thousands = (size >= 1e4) if not is_percent else F.lit(False)
     text = (
-        F.when(size >= 1e9, F.concat(_plain(number / 1e9, 2), F.lit("B")))
-        .when(size >= 1e6, F.concat(_plain(number / 1e6, 2), F.lit("M")))
-        .when(thousands, F.concat(_plain(number / 1e3, 1), F.lit("K")))
+        F.when(size >= 1e9, F.concat(plain_number(number / 1e9, 2), F.lit("B")))
+        .when(size >= 1e6, F.concat(plain_number(number / 1e6, 2), F.lit("M")))
+        .when(thousands, F.concat(plain_number(number / 1e3, 1), F.lit("K")))
         .when((size >= 100) | ((number == F.floor(number)) & (size >= 1)), whole_number(number))
-        .when((size < 0.01) & (size > 0), _plain(number, 4))
-        .otherwise(_plain(number, 2))
+        .when((size < 0.01) & (size > 0), plain_number(number, 4))
+        .otherwise(plain_number(number, 2))
     )
     shown = F.concat(F.lit(before), text, F.lit(after))
     return F.when(number.isNull() | F.isnan(number), F.lit(MISSING_TEXT)).otherwise(shown)

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import is_time, ref, require
-from tallyloom.functions.display import _plain
+from tallyloom.functions.display import plain_number
 from tallyloom.operators.series import LAST_PERIODS, period_values
 
 # --- fixed values: forecast ---------------------------------------------------------------
@@ -105,7 +105,7 @@ def forecast_summary(
     direction = (F.when(F.col("growth_pct") > RISING_ABOVE, "Bullish Growth")
                  .when(F.col("growth_pct") < FALLING_BELOW, "Declining").otherwise("Stable"))
     sign = F.when(F.col("growth_pct") >= 0, F.lit("+")).otherwise(F.lit(""))
-    shown = F.concat(sign, _plain(F.col("growth_pct"), 1), F.lit("%"))
+    shown = F.concat(sign, plain_number(F.col("growth_pct"), 1), F.lit("%"))
     return facts.withColumns({"direction": direction, "projected_growth": shown}).withColumn(
         "summary", F.concat(
             F.lit(f"{metric_name} demonstrates a "), F.lower("direction"),

@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from check import TABLES, rows_of
 from conftest import DATA, plan_of
+from tallyloom.catalog import QUERIES
 
 SQL = entry.oracle_sql()
 
@@ -17,7 +18,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
     df = entry.queries()[name](spark, DATA)
     columns = sorted(df.columns)

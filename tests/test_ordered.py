@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators.ordered import (
     cumulative_counts, forward_fill, order_correlation, percentiles, row_positions, with_block,
 )
+from conftest import plan_of
 from tallyloom.operators.staging import lookup, stage
 
 
@@ -95,15 +96,22 @@ def test_constant_column_has_no_order(spark):
     assert order_correlation(df, ["c"], ["id"]).first()["spearman"] is None
 
 
-def test_small_and_large_lookups_agree(skewed):
-    _, df = skewed
+def test_lookups_agree_by_broadcast_and_by_shuffle(skewed):
+    frame, df = skewed
     table = stage(df.filter("k IS NOT NULL").select(F.col("k").alias("key")).distinct()
-                  .withColumn("new", F.upper("key")).filter("key <> '3'"))
+                  .withColumn("new", F.repeat(F.upper("key"), 5000)).filter("key <> '3'"))
     small = lookup(df, table, F.col("k"), "key")
-    large = lookup(df, table, F.col("k"), "key", broadcast_rows=0)
+    assert "BroadcastHashJoin" in plan_of(small)
+    before = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = lookup(df, table, F.col("k"), "key")
+        assert "BroadcastHashJoin" not in plan_of(large)
+        found = sorted(large.collect(), key=lambda r: r["id"])
+    finally:
+        df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert small.columns == large.columns == ["id", "k", "v", "w", "new"]
-    assert sorted(small.collect(), key=lambda r: r["id"]) == sorted(
-        large.collect(), key=lambda r: r["id"])
+    assert sorted(small.collect(), key=lambda r: r["id"]) == found
 
 
 def test_few_rows(spark):

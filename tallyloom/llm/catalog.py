@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, fingerprints, packing, quality, secrets, warc
+from tallyloom.llm import bpe, fingerprints, packing, quality, secrets, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,6 +73,13 @@ def op5_warc(spark, folder):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op8_substrings(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substrings.without_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query()
 def op9_fingerprints(spark, folder):
     return fingerprints.compared(table(spark, folder, "documents"))

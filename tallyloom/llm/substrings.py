@@ -18,23 +18,25 @@ lose nothing. Whole texts equal to one with a smaller id need no windows: all th
 """
 from __future__ import annotations
 
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyloom.llm.exchange import (
-    ANSWER, PACKED, answers, flags_from, groups_of, pack_rows, unpack)
+    PACKED, answers, bucket_count, collected, exchanged, flags_from, full_texts, groups_of,
+    held_by_several, lists, pack_rows, small_texts)
 from tallyloom.llm.rows import WordHashes, arrow_schema, mix, slices, windows
 from tallyloom.operators.staging import stage
 
 WINDOW = 13
 ROUNDS = 2
 #: Keys that meet in one task of an exchange.
-BUCKET_KEYS = 3_000_000
+BUCKET_KEYS = 5_000_000
+#: A symbol stands for nearly two words, a word and its blank for some six bytes.
+BYTES_PER_SYMBOL = 11
 #: Documents whose symbols are made together.
 TOGETHER = 64
 RUN, PAIR, CLASS, END = (np.uint64(c) for c in (
@@ -101,22 +103,6 @@ def _symbol_keys(part_words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
     return names, np.bincount(text, minlength=len(part_words)), (low, high, ends)
 
 
-def _buckets(docs: DataFrame) -> int:
-    """Buckets for as many keys as the input can have: a key takes two bytes of text at least."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    return max(1, -(-int(size) // (6 * BUCKET_KEYS)))
-
-
-def _exchange(packed: DataFrame, answer, width: type) -> DataFrame:
-    arrow = arrow_schema(ANSWER)
-
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table(answer(*unpack(table, width), bucket, table), schema=arrow)
-
-    return packed.groupBy("bucket").applyInArrow(run, ANSWER)
-
-
 def _shared_symbols(keyed: DataFrame, buckets: int, window: int) -> DataFrame:
     schema = arrow_schema(PACKED)
 
@@ -138,75 +124,39 @@ def _shared_symbols(keyed: DataFrame, buckets: int, window: int) -> DataFrame:
                                  np.array(owners, np.int64), buckets, np.uint32)
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    def answer(keys, owners, counts, bucket, _):
-        order, start = groups_of(keys)
-        who = np.repeat(owners, counts)[order]
-        flags = np.zeros(len(keys), bool)
-        if len(start):
-            several = np.minimum.reduceat(who, start) != np.maximum.reduceat(who, start)
-            flags[order] = np.repeat(several, np.diff(np.append(start, len(keys))))
-        return answers(flags, owners, counts, bucket)
-
-    return _exchange(keyed.mapInArrow(emit, PACKED), answer, np.uint32)
-
-
-def _small(keyed: DataFrame) -> DataFrame:
-    """Texts as zstd frames in ``_text``: they go through a shuffle in half the space."""
-    others = [f for f in keyed.schema.fields if f.name != "text"]
-    schema = StructType([*others, StructField("_text", BinaryType())])
-    arrow = arrow_schema(schema)
-
-    def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3)
-        for part in slices(batches):
-            texts = part.column("text").cast(pa.binary()).to_pylist()
-            frames = [t and pack.compress(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(f.name) for f in others), pa.array(frames, pa.binary())], schema=arrow)
-
-    return keyed.mapInArrow(run, schema)
-
+    return exchanged(keyed.mapInArrow(emit, PACKED), held_by_several, np.uint32)
 
-def _marked(keyed: DataFrame, copies: DataFrame, shared: DataFrame, older: DataFrame | None = None) -> DataFrame:
-    """Each row with its answers and whether it is a copy. One document's answers are as many as
-    the buckets that its own keys lie in."""
-    def tagged(marks: DataFrame, kind: int) -> DataFrame:
-        return marks.select(F.col("owner").alias("_row"), F.struct(
-            F.lit(kind).alias("kind"), "bucket", "bits").alias("mark"))
 
-    own = tagged(copies.select(F.col("_row").alias("owner"), F.lit(0).cast("long").alias("bucket"),
-                               F.lit(None).cast("binary").alias("bits")), 0)
-    own = own.unionByName(tagged(shared, 1))
-    own = own.unionByName(tagged(older, 2)) if older is not None else own
-    given = own.groupBy("_row").agg(F.collect_list("mark").alias("_marks"))
-    return _small(keyed).join(given, "_row", "left")
+def _marked(keyed: DataFrame, copies: DataFrame, *answered: DataFrame) -> DataFrame:
+    """Each row with whether it is a copy, and its answers."""
+    own = copies.select("_row").distinct().withColumn("_copy", F.lit(True))
+    for k, marks in enumerate(answered, 1):
+        own = own.join(collected(marks, str(k)).withColumnRenamed("owner", "_row"), "_row", "full")
+    return small_texts(keyed).join(own, "_row", "left")
 
 
 def _compared(part: pa.RecordBatch, hashes: WordHashes, buckets: int, window: int):
     """For each row of a slice: its words, whether it is a copy, its windows that were compared (a mask)
     with their hashes, and the answers about them."""
-    import zstandard
-
-    unpack_text = zstandard.ZstdDecompressor()
-    rows = []
-    for doc_id, frame, marks in zip(*(part.column(c).to_pylist() for c in ("doc_id", "_text", "_marks"))):
-        words = unpack_text.decompress(frame).split() if frame else []
-        kinds = {k: [m for m in marks or [] if m["kind"] == k] for k in (0, 1, 2)}
-        compare = len(words) >= window and doc_id is not None and not kinds[0]
-        rows.append((words, bool(kinds[0]), hashes(words) if compare else np.zeros(0, np.uint64), kinds))
+    rows, older = [], "_buckets2" in part.schema.names
+    columns = [part.column("doc_id").to_pylist(), full_texts(part), part.column("_copy").to_pylist(),
+               *(lists(part, c) for c in ("_buckets1", "_bits1"))]
+    columns += [lists(part, c) for c in ("_buckets2", "_bits2")] if older else [[()] * part.num_rows] * 2
+    for doc_id, text, copy, *marks in zip(*columns):
+        words = text.split()
+        compare = len(words) >= window and doc_id is not None and not copy
+        rows.append((words, bool(copy), hashes(words) if compare else np.zeros(0, np.uint64), marks))
     names, count, (low, high, ends) = _symbol_keys([r[2] for r in rows])
     at = 0
-    for k, (words, copy, hashed, kinds) in enumerate(rows):
+    for k, (words, copy, hashed, marks) in enumerate(rows):
         own = slice(at, at + int(count[k]))
         at = own.stop
         mask, keys = np.zeros(0, bool), np.zeros(0, np.uint64)
         if len(hashed):
-            shared = flags_from(names[own], buckets, kinds[1])
+            shared = flags_from(names[own], buckets, *marks[:2])
             mask = candidates(low[own], high[own], shared, int(ends[k]) + 1, len(words), window)
             keys = windows(hashed, window)[mask]
-        yield words, copy, mask, keys, kinds[2]
+        yield words, copy, mask, keys, marks[2:]
 
 
 def _older_windows(marked: DataFrame, buckets: int, window: int) -> DataFrame:
@@ -243,7 +193,7 @@ def _older_windows(marked: DataFrame, buckets: int, window: int) -> DataFrame:
             flags[order] = who > least
         return answers(flags, owners, counts, bucket)
 
-    return _exchange(marked.mapInArrow(emit, packed_schema), answer, np.uint64)
+    return exchanged(marked.mapInArrow(emit, packed_schema), answer, np.uint64)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id",
@@ -257,7 +207,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc
         F.col(f"`{text_column}`").cast("string").alias("text"), *fields
     ).withColumn("_row", F.xxhash64("doc_id", "text"))  # rows equal in both share their answers
     slim = keyed.select("_row", "doc_id", "text")
-    buckets = _buckets(slim)
+    buckets = bucket_count(slim, BYTES_PER_SYMBOL, BUCKET_KEYS)
     copies, shared = stage(_copies(slim)), stage(_shared_symbols(slim, buckets, window))
     older = stage(_older_windows(_marked(slim, copies, shared), buckets, window))
     marked = _marked(keyed, copies, shared, older)
@@ -272,7 +222,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc
             texts, sizes, gone = [], [], []
             for words, copy, mask, keys, marks in _compared(part, hashes, buckets, window):
                 stay = np.full(len(words), not (copy and len(words) >= window))
-                starts = np.flatnonzero(mask)[flags_from(keys, buckets, marks)]
+                starts = np.flatnonzero(mask)[flags_from(keys, buckets, *marks)]
                 for start in starts.tolist():
                     stay[start:start + window] = False
                 left = int(stay.sum())

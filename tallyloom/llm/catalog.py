@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, fingerprints, packing, quality, secrets, substrings, warc
+from tallyloom.llm import bpe, fingerprints, jaccard, packing, privacy, quality, secrets, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,6 +73,17 @@ def op5_warc(spark, folder):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op6_jaccard(spark, folder):
+    return jaccard.linked(table(spark, folder, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op7_toxicity(spark, folder):
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query()
 def op8_substrings(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -83,3 +94,9 @@ def op8_substrings(spark, folder):
 @query()
 def op9_fingerprints(spark, folder):
     return fingerprints.compared(table(spark, folder, "documents"))
+
+
+@query()
+def op10_pii(spark, folder):
+    found = privacy.pseudonymized(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")

@@ -313,11 +313,36 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_slices(both, work, "a long, b long, linked boolean", 64)
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with the same components: within each partition, every node to its least one."""
+    arrow = arrow_schema("u long, v long")
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(i):
+            while (up := parent.setdefault(i, i)) != i:
+                parent[i] = i = parent.setdefault(up, up)
+            return i
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+                u, v = root(u), root(v)
+                parent[max(u, v)] = min(u, v)
+        nodes = [i for i in parent if root(i) != i]
+        for at in range(0, len(nodes), 10_000):
+            part = nodes[at:at + 10_000]
+            yield pa.RecordBatch.from_pydict({"u": [root(i) for i in part], "v": part}, schema=arrow)
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``class`` and ``comp``, the least class of its component, for all ends of ``edges`` (a, b). Each step
-    links a node's larger neighbours to its least one, then its smaller ones; after a number of steps in
-    the order of the logarithm of the longest path, only stars are left."""
-    now = stage(edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    """``class`` and ``comp``, the least class of its component, for all ends of ``edges`` (a, b). Tasks
+    join what they hold; then each step links a node's larger neighbours to its least one, then its
+    smaller ones, until only stars are left: steps in the order of the logarithm of the longest path."""
+    now = stage(_stars(edges.where("a <> b").select(
+        F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -325,13 +350,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("m"), "u", "v")
-        after = stage(small.select(F.col("m").alias("u"), "v").unionByName(
-            small.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct())
+        after = stage(_stars(small.select(F.col("m").alias("u"), "v").unionByName(
+            small.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct()))
         sums = [d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
                 for d in (now, after)]
         now = after
         if sums[0] == sums[1]:
-            return now.select(F.col("v").alias("class"), F.col("u").alias("comp"))
+            return now.select(F.col("v").alias("class"), F.col("u").alias("comp")).distinct()
 
 
 def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

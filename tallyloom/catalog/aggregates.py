@@ -43,7 +43,7 @@ def agg_median_by_flag(t):
 @query("A3", _flag_sql("median(l_extendedprice)"))
 def agg_median_by_blocks(t):
     """The path for groups too large for one task."""
-    found = aggregate(t.lineitem, "l_extendedprice", "median", ["l_returnflag"], rows_in_memory=0)
+    found = aggregate(t.lineitem, "l_extendedprice", "median", ["l_returnflag"])
     return rounded(found, "value", places=4)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.columns import is_time, ref
-from tallyloom.functions.fixed import DATE_FORMATS, DATE_LENGTHS
+from tallyloom.functions.fixed import DATE_FORMATS
 
 GRAINS = ("quarter", "month", "week")
 
@@ -27,7 +27,7 @@ def parse_date_text(text: Column) -> Column:
             else F.try_to_timestamp(value, F.lit(pattern)).cast("timestamp_ntz")
         )
         parsed = F.when(value.rlike(shape), read).otherwise(parsed)
-    return F.when(F.length(value).between(*DATE_LENGTHS), parsed)
+    return parsed
 
 
 def as_time(df: DataFrame, name: str) -> Column:

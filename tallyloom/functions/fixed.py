@@ -15,13 +15,18 @@ SYNONYM_SHARE = 0.3
 DATE_NAME_WORDS = ["date", "time", "year", "month", "day", "timestamp", "period"]
 DATE_SHARE = 0.8
 DATE_SHARE_WITH_NAME = 0.5
-# length of the text, its shape, and the datetime pattern that reads it
-DATE_LENGTHS = (4, 26)
+# the shape of a text and the datetime pattern that reads it; the first that fits counts
 DATE_FORMATS = [
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?$", None),
+    (r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?$", None),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}$", "d/M/yyyy"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M$", "M/d/yyyy h:mm a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AP]M$", "M/d/yyyy h:mm:ss a"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+    (r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$", "d-MMM-yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.yyyy"),
     (r"^\d{8}$", "yyyyMMdd"),
@@ -30,6 +35,9 @@ DATE_FORMATS = [
     (r"^[A-Z][a-z]{2} \d{4}$", "MMM yyyy"),
     (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
     (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"^[A-Z][a-z]{3,8} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2} [A-Z][a-z]{3,8} \d{4}$", "d MMMM yyyy"),
 ]
 
 # --- fixed values: cleaning ---------------------------------------------------------------
@@ -37,7 +45,6 @@ MISSING_SHARE_LEFT_ALONE = 0.4
 ORDER_CORRELATION = 0.5
 OUTLIER_Z = 3.0
 WINSOR_LOW, WINSOR_HIGH = 0.01, 0.99
-NO_MODE_FILL = "Unknown"
 
 # --- fixed values: column roles -----------------------------------------------------------
 IDENTIFIER_PATTERN = (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import ref, require
 from tallyloom.functions.fixed import AVERAGED_WORDS
-from tallyloom.operators.ordered import ROWS_IN_MEMORY, percentiles
+from tallyloom.operators.ordered import percentiles
 
 # --- fixed values: names of aggregations --------------------------------------------------
 AGGREGATION_NAMES = {
@@ -52,9 +52,7 @@ def aggregate(
     func: str | None = "sum",
     by: list[str] | None = None,
     name: str = "value",
-    approx: bool = False,
-    rows_in_memory: int = ROWS_IN_MEMORY,
-) -> DataFrame:
+    approx: bool = False) -> DataFrame:
     """One row per group, missing groups included, or one row in all. A sum over nothing but
     gaps is 0, the other aggregations are NULL there, a deviation of one row is 0."""
     by = list(by or [])
@@ -62,7 +60,7 @@ def aggregate(
     func = aggregation_name(func, metric)
     groups = df.groupBy(*[ref(b) for b in by])
     if func == "median" and not approx:
-        found = percentiles(df, metric, [0.5], by, rows_in_memory)
+        found = percentiles(df, metric, [0.5], by)
         return found.select(*[ref(b) for b in by], F.get("quantiles", F.lit(0)).alias(name))
     if func == "median":
         return groups.agg(F.percentile_approx(ref(metric).cast("double"), 0.5).alias(name))

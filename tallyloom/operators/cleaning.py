@@ -13,7 +13,7 @@ from tallyloom.functions.fixed import (
     COUNTRY_NAME_WORDS, COUNTRY_SYNONYMS, DATE_NAME_WORDS, DATE_SHARE, DATE_SHARE_WITH_NAME,
     MISSING_SHARE_LEFT_ALONE, OUTLIER_Z, SYNONYM_SHARE, WINSOR_HIGH, WINSOR_LOW,
 )
-from tallyloom.operators.ordered import ROWS_IN_MEMORY, column_percentiles
+from tallyloom.operators.ordered import column_percentiles
 from tallyloom.operators.staging import lookup, stage
 
 BLANKS = " \t\n\r\f\x0b"
@@ -95,17 +95,16 @@ def most_frequent(counts: DataFrame) -> DataFrame:
     )
 
 
-def medians(df: DataFrame, columns: list[str], rows_in_memory: int = ROWS_IN_MEMORY) -> DataFrame:
-    found = column_percentiles(df, columns, [0.5], rows_in_memory)
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    found = column_percentiles(df, columns, [0.5])
     return found.select("column", F.get("quantiles", F.lit(0)).alias("median"))
 
 
-def fill_with_median(df: DataFrame, columns: list[str],
-                     rows_in_memory: int = ROWS_IN_MEMORY) -> DataFrame:
+def fill_with_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Gaps in number columns become the median, one pass for all columns. At most one row per
     column reaches the driver."""
     require(df, *columns)
-    found = {r["column"]: r["median"] for r in medians(df, columns, rows_in_memory).collect()}
+    found = {r["column"]: r["median"] for r in medians(df, columns).collect()}
     return df.withColumns({
         c: F.coalesce(ref(c).cast("double"), F.lit(found[c]).cast("double")) for c in columns
     })
@@ -217,21 +216,19 @@ def outlier_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return per_column(df, facts)
 
 
-def winsorize(df: DataFrame, columns: list[str] | None = None,
-              rows_in_memory: int = ROWS_IN_MEMORY) -> DataFrame:
+def winsorize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Clip columns that have outliers to their 1st and 99th percentile."""
     columns = number_columns(df) if columns is None else columns
     found = outlier_counts(df, columns).filter(F.col("outliers") > 0).select("column").collect()
-    return clip_to_percentiles(df, [r["column"] for r in found], rows_in_memory)
+    return clip_to_percentiles(df, [r["column"] for r in found])
 
 
-def clip_to_percentiles(df: DataFrame, columns: list[str],
-                        rows_in_memory: int = ROWS_IN_MEMORY) -> DataFrame:
+def clip_to_percentiles(df: DataFrame, columns: list[str]) -> DataFrame:
     if not columns:
         return df
     bounds = {
         r["column"]: r["quantiles"]
-        for r in column_percentiles(df, columns, [WINSOR_LOW, WINSOR_HIGH], rows_in_memory).collect()
+        for r in column_percentiles(df, columns, [WINSOR_LOW, WINSOR_HIGH]).collect()
     }
 
     def clipped(name):

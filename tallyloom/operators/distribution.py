@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.columns import as_number, clean_number, ref, require
 from tallyloom.functions.display import display_number, whole_number
 from tallyloom.operators.filters import top_values
-from tallyloom.operators.ordered import ROWS_IN_MEMORY, percentiles
+from tallyloom.operators.ordered import percentiles
 from tallyloom.sources.preview import sample_rows
 
 # --- fixed values: sizes ------------------------------------------------------------------
@@ -76,8 +76,7 @@ def _summary(found: DataFrame, name) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, metric: str, dimension: str | None = None,
-              rows_in_memory: int = ROWS_IN_MEMORY) -> DataFrame:
+def box_stats(df: DataFrame, metric: str, dimension: str | None = None) -> DataFrame:
     """Five-number summaries of the five groups with most values; the whole column when there is
     no group with two values."""
     require(df, metric, *([dimension] if dimension else []))
@@ -89,9 +88,9 @@ def box_stats(df: DataFrame, metric: str, dimension: str | None = None,
         top = top_values(pairs, "name", BOX_GROUPS).filter(F.col("n") >= BOX_LEAST_ROWS).collect()
         if top:
             kept = pairs.filter(F.col("name").isin([r["name"] for r in top]))
-            found = percentiles(kept, "metric", shares, ["name"], rows_in_memory)
+            found = percentiles(kept, "metric", shares, ["name"])
             return _summary(found, F.col("name").cast("string"))
-    return _summary(percentiles(values, metric, shares, None, rows_in_memory), F.lit(metric))
+    return _summary(percentiles(values, metric, shares, None), F.lit(metric))
 
 
 def scatter_pairs(df: DataFrame, x: str, y: str, key: list[str], n: int = SCATTER_ROWS,

@@ -18,7 +18,6 @@ from tallyloom.functions.columns import as_number, ref, require
 from tallyloom.operators.staging import stage
 
 SAMPLE_PER_BLOCK = 20
-ROWS_IN_MEMORY = 3_000_000
 
 
 def _sorted_key(order: list[str]) -> Column:
@@ -143,24 +142,14 @@ def percentiles(
     df: DataFrame,
     column: str,
     shares: list[float],
-    by: list[str] | None = None,
-    rows_in_memory: int = ROWS_IN_MEMORY,
-) -> DataFrame:
+    by: list[str] | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation: (by, n, lowest, highest, quantiles).
 
-    The built-in exact percentile keeps the values of a group in one task. It is used when the
-    whole input has been counted and is small; beyond that the values are counted once, kept, and
-    ranked by blocks. Groups with no value give NULL."""
+    The values are counted once, kept, and ranked by blocks, so no task holds a group, and the
+    result has the same bits at any size. Groups with no value give NULL."""
     by = list(by or [])
     require(df, column, *by)
     values = df.select(*[ref(b) for b in by], as_number(df, column).alias("_value"))
-    if values.count() <= rows_in_memory:
-        return values.groupBy(*by).agg(
-            F.count("_value").alias("n"),
-            F.min("_value").alias("lowest"),
-            F.max("_value").alias("highest"),
-            F.percentile("_value", F.array(*[F.lit(s) for s in shares])).alias("quantiles"),
-        )
     counts = stage(values.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("n")))
     ranked = cumulative_counts(counts.filter(F.col("_value").isNotNull()), by, "_value")
     picked = []
@@ -188,12 +177,11 @@ def percentiles(
 
 
 def column_percentiles(
-    df: DataFrame, columns: list[str], shares: list[float], rows_in_memory: int = ROWS_IN_MEMORY
-) -> DataFrame:
+    df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
     """Exact percentiles of several columns in one pass: one row per column."""
     numbers = df.select(*[as_number(df, c).alias(c) for c in columns])
     long = numbers.unpivot([], [ref(c) for c in columns], "column", "value")
-    return percentiles(long, "value", shares, ["column"], rows_in_memory)
+    return percentiles(long, "value", shares, ["column"])
 
 
 def row_positions(df: DataFrame, order_by: list[str], name: str = "position") -> DataFrame:

@@ -12,7 +12,7 @@ from tallyloom.functions.fixed import (
     IDENTIFIER_PATTERN, KNOWN_COUNTRIES, KPI_WORDS, RATING_WORDS, TARGET_WORDS,
 )
 from tallyloom.operators.cleaning import date_facts, per_column, value_counts
-from tallyloom.operators.ordered import ROWS_IN_MEMORY, column_percentiles
+from tallyloom.operators.ordered import column_percentiles
 
 SAMPLES = 3
 MEASURE_DISTINCT = 5
@@ -121,7 +121,6 @@ def profile(
     df: DataFrame,
     kpi_words: list[str] | None = None,
     geo_words: list[str] | None = None,
-    rows_in_memory: int = ROWS_IN_MEMORY,
     medians: bool = True,
 ) -> DataFrame:
     """One row per column: position, column, type, missing_pct, unique_count, sample_values,
@@ -133,7 +132,7 @@ def profile(
     found = column_facts(df)
     found = found.join(F.broadcast(distinct_values(df)), "column", "left")
     if numbers and medians:
-        middle = column_percentiles(df, numbers, [0.5], rows_in_memory).select(
+        middle = column_percentiles(df, numbers, [0.5]).select(
             "column", F.coalesce(F.get("quantiles", F.lit(0)), F.lit(0.0)).alias("median"))
         found = found.join(F.broadcast(middle), "column", "left")
     else:

@@ -11,7 +11,7 @@ from tallyloom.operators.cleaning import (
     apply_spellings, changed_spellings, clip_to_percentiles, date_columns, drop_duplicate_rows,
     medians, missing_report, most_frequent, outlier_counts, spelling_report, spellings, value_counts,
 )
-from tallyloom.operators.ordered import ROWS_IN_MEMORY, forward_fill, order_correlation
+from tallyloom.operators.ordered import forward_fill, order_correlation
 from tallyloom.operators.profiling import is_identifier_name
 from tallyloom.operators.staging import stage
 
@@ -24,9 +24,7 @@ def clean(
     treat_outliers: bool = True,
     synonyms: dict[str, str] | None = None,
     order_by: list[str] | None = None,
-    exclude_outliers: list[str] | None = None,
-    rows_in_memory: int = ROWS_IN_MEMORY,
-) -> tuple[DataFrame, DataFrame]:
+    exclude_outliers: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Remove duplicates, fill gaps, unify category spelling and clip outliers: the cleaned table
     and a report (column, step, action, count, before, after).
 
@@ -54,7 +52,7 @@ def clean(
     filled = forward_fill(distinct, forward, order_by) if forward else distinct
     if by_median:
         found = {r["column"]: r["median"] for r in
-                 medians(distinct, by_median, rows_in_memory).collect()}
+                 medians(distinct, by_median).collect()}
         filled = filled.withColumns({
             c: F.coalesce(ref(c).cast("double"), F.lit(found[c]).cast("double"))
             for c in by_median})
@@ -105,5 +103,5 @@ def clean(
         clip = [c for c in checked if treat_outliers and outliers[c]]
         for name in checked:
             note(name, "outliers", "winsorized_1_99" if name in clip else "none", outliers[name])
-        filled = clip_to_percentiles(filled, clip, rows_in_memory)
+        filled = clip_to_percentiles(filled, clip)
     return filled, df.sparkSession.createDataFrame(facts, REPORT)

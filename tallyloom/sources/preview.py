@@ -12,7 +12,8 @@ PAGE_SIZE, LARGEST_PAGE = 50, 500
 SAMPLE_RECORDS = 5
 PROFILE_SAMPLE_ROWS, SAMPLE_SEED = 200_000, 42
 
-TOP_K_ROWS = 1_000
+#: Ranges of hashes that are counted to find a sample's last one.
+HASH_RANGES = 4096
 
 
 def page_numbers(total_rows: int, page: int, page_size: int) -> tuple[int, int, int]:
@@ -26,18 +27,15 @@ def preview_page(
     df: DataFrame, order_by: list[str], page: int = 1, page_size: int = PAGE_SIZE
 ) -> tuple[DataFrame, dict]:
     """One page of rows in the order of ``order_by``, and the page facts. The count that clamps
-    the page is one job. An early page is a top-k, not a full sort; a far one is found by row
-    number, so that the rows before it do not meet in one task."""
+    the page is one job. The page is found by row number, so that the rows before it do not meet
+    in one task."""
     require(df, *order_by)
     total = df.count()
     shown, size, pages = page_numbers(total, page, page_size)
     skipped = (shown - 1) * size
-    if skipped <= TOP_K_ROWS * LARGEST_PAGE:
-        rows = df.orderBy(*order_by).offset(skipped).limit(size)
-    else:
-        place = F.col("_position")
-        rows = row_positions(df, order_by, "_position").filter(
-            (place > skipped) & (place <= skipped + size)).orderBy("_position").drop("_position")
+    place = F.col("_position")
+    rows = row_positions(df, order_by, "_position").filter(
+        (place > skipped) & (place <= skipped + size)).orderBy("_position").drop("_position")
     rows = nan_to_null(rows)
     facts = {"total_rows": total, "page": shown, "page_size": size, "total_pages": pages}
     return rows, facts
@@ -53,14 +51,19 @@ def sample_records(df: DataFrame, order_by: list[str], n: int = SAMPLE_RECORDS)
 
 def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = SAMPLE_SEED) -> DataFrame:
     """A sample of exactly ``n`` rows, or all of a smaller table, that is the same on each run:
-    the rows with the smallest hash of ``key``. Each task hands on n rows at most; for a large n
-    rows with a clearly larger hash are left out first, so that about n rows meet in all."""
+    the rows with the smallest hash of ``key``. Rows are counted per range of hashes; only the
+    ranges that the sample needs are numbered, in blocks, so the sample may be of any size."""
     require(df, *key)
     hashed = df.withColumn("_hash", F.xxhash64(*[ref(c) for c in key], F.lit(seed)))
-    if n > TOP_K_ROWS:
-        share = (n + 10 * n**0.5) / max(df.count(), 1)
-        if share < 1:
-            near = hashed.filter(F.col("_hash") <= int((share - 0.5) * 2.0**64))
-            # keys that repeat can leave too few rows; then all rows compete
-            hashed = near if near.count() >= n else hashed
-    return hashed.orderBy("_hash", *key).limit(n).drop("_hash")
+    width = 64 - (HASH_RANGES - 1).bit_length()
+    span = F.shiftright(F.col("_hash"), width)
+    counts = {r["_range"]: r["n"] for r in hashed.groupBy(span.alias("_range")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    held = last = None
+    for last in sorted(counts):
+        held = (held or 0) + counts[last]
+        if held >= n:
+            break
+    near = hashed if last is None else hashed.filter(span <= last)
+    return row_positions(near, ["_hash", *key], "_position").filter(
+        F.col("_position") <= n).drop("_hash", "_position")

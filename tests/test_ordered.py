@@ -61,14 +61,14 @@ def test_percentiles_both_ways(skewed):
     frame, df = skewed
     shares = [0.01, 0.25, 0.5, 0.9]
     for limit in (10_000, 0):
-        rows = {r["k"]: r for r in percentiles(df, "v", shares, ["k"], limit).collect()}
+        rows = {r["k"]: r for r in percentiles(df, "v", shares, ["k"]).collect()}
         for name, group in frame.groupby(frame.k.fillna("none")):
             row = rows[None if name == "none" else name]
             values = group.v.dropna()
             assert row["n"] == len(values)
             assert np.allclose(row["quantiles"], values.quantile(shares))
             assert (row["lowest"], row["highest"]) == (values.min(), values.max())
-        whole = percentiles(df, "v", shares, None, limit).first()
+        whole = percentiles(df, "v", shares, None).first()
         assert np.allclose(whole["quantiles"], frame.v.quantile(shares))
 
 
@@ -119,4 +119,4 @@ def test_few_rows(spark):
     assert forward_fill(one, ["v"], ["id"]).collect()[0]["v"] is None
     none = one.filter("id > 1")
     assert forward_fill(none, ["v"], ["id"]).count() == 0
-    assert percentiles(one, "v", [0.5], None, 0).first()["quantiles"] in (None, [None])
+    assert percentiles(one, "v", [0.5], None).first()["quantiles"] in (None, [None])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.exchange import (
     PACKED, bucket_count, collected, exchanged, flags_from, full_texts, groups_of, held_by_several, lists,
     pack_rows, small_texts)
-from tallyloom.llm.rows import WordHashes, arrow_schema, map_slices, mix, shingles, slices, texts_of, utf8
+from tallyloom.llm.rows import WordHashes, arrow_schema, map_slices, mix, shingles, slices, texts_of, unused, utf8
 from tallyloom.operators.staging import stage
 
 WORDS, PERCENT = 5, 80
@@ -234,6 +234,16 @@ def _meet(keys, owner, sizes, bits, comps, failed, most: int) -> set[tuple[int,
     return out
 
 
+def _places(active: DataFrame, buckets: int) -> DataFrame:
+    """The buckets in which a class has tiles."""
+    def work(part):
+        keys = [np.frombuffer(k, np.uint64) for k in part.column("tiles").to_pylist()]
+        return {"class": part.column("class"),
+                "places": [np.unique(k % np.uint64(buckets)).astype(np.int64) for k in keys]}
+
+    return map_slices(active.select("class", "tiles"), work, "class long, places array<long>")
+
+
 def _candidates(active: DataFrame, comps: DataFrame, failed: DataFrame | None, buckets: int, most: int) -> DataFrame:
     """Pairs of classes to verify in this round, as ``a`` and ``b`` (distinct)."""
     packed_schema = "bucket long, owners binary, counts binary, keys binary, n binary, comp binary, bits array<binary>"
@@ -279,7 +289,10 @@ def _candidates(active: DataFrame, comps: DataFrame, failed: DataFrame | None, b
     if failed is None:
         found = packed.groupBy("bucket").applyInArrow(lambda t: meet(t), "a long, b long")
     else:
-        each = failed.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)).cast("array<long>")).alias("bucket"))
+        # a failed pair is told only where both of it have tiles
+        places = stage(_places(active, buckets))
+        each = failed.join(places.toDF("a", "_a"), "a").join(places.toDF("b", "_b"), "b").select(
+            "a", "b", F.explode(F.array_intersect("_a", "_b")).alias("bucket"))
         found = packed.groupBy("bucket").cogroup(each.groupBy("bucket")).applyInArrow(
             lambda left, right: meet(left, right) if left.num_rows else pair_schema.empty_table(), "a long, b long")
     return found.distinct()
@@ -408,5 +421,6 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     kept = found.groupBy(lone.alias("_group"), F.col("n_shingles") > 0).agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("_first")).select(
         F.col("_first.row").alias("_row"))
-    row = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string"))
-    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    row, name = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string")), unused(docs, "_row")
+    return docs.withColumn(name, row).join(kept.withColumnRenamed("_row", name), name, "left_semi").dropDuplicates(
+        [name]).drop(name)

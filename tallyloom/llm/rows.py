@@ -46,6 +46,14 @@ def texts_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         F.col(f"`{text_column}`").cast("string").alias("text"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` is called so in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def strings(part: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in part.column(name).to_pylist()]
 

@@ -207,6 +207,18 @@ def test_one_of_each(odd):
     assert jaccard.one_of_each(odd.limit(0)).count() == 0
 
 
+def test_columns_named_as_own_ones_stay(spark):
+    texts = ["Mr. John Smith", "Mr. John Smith", None, "a b"]
+    rows = [(i % 3, t, f"r{i}", i, "old") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _ROW string, _late long, entities string")
+    new = privacy.pseudonymized(df)
+    assert new.columns == ["doc_id", "text", "_ROW", "_late", "entities"]
+    assert sorted(tuple(r)[2:4] for r in new.collect()) == [(f"r{i}", i) for i in range(4)]
+    one = jaccard.one_of_each(df)
+    assert one.columns == df.columns
+    assert sorted(tuple(r) for r in one.collect()) == sorted(rows[i] for i in (0, 2, 3))
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(1)
     for n, m in ((50, 50), (60, 70), (500, 620)):

@@ -356,20 +356,23 @@ def components(edges: DataFrame) -> DataFrame:
     smaller ones, until only stars are left: steps in the order of the logarithm of the longest path."""
     now = stage(_stars(edges.where("a <> b").select(
         F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()))
-    while True:
+    while not _only_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("u"), "v")
         large = large.where("u <> v").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("m"), "u", "v")
-        after = stage(_stars(small.select(F.col("m").alias("u"), "v").unionByName(
+        now = stage(_stars(small.select(F.col("m").alias("u"), "v").unionByName(
             small.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct()))
-        sums = [d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-                for d in (now, after)]
-        now = after
-        if sums[0] == sums[1]:
-            return now.select(F.col("v").alias("class"), F.col("u").alias("comp")).distinct()
+    return now.select(F.col("v").alias("class"), F.col("u").alias("comp")).distinct()
+
+
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each larger end ``v`` has one smaller ``u`` and is none itself: then ``u`` is the least of all."""
+    ends = edges.select(F.col("v").alias("node"), "u").unionByName(
+        edges.select(F.col("u").alias("node"), F.col("u")))
+    return ends.groupBy("node").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").isEmpty()
 
 
 def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -394,19 +397,22 @@ def linked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 pairs.select(F.col("b").alias("class"))).distinct()
             sets = stage(_sets(rows, active, stage(ends)))
         tested = stage(_verified(pairs, sets))
-        edges = tested.where("linked") if edges is None else edges.unionByName(tested.where("linked"))
-        comps = components(edges.select("a", "b"))
+        # what is joined already comes as stars, so only new links need steps
+        new = tested.where("linked").select("a", "b")
+        comps = components(new if edges is None else new.unionByName(edges))
+        edges = comps.select(F.col("class").alias("a"), F.col("comp").alias("b"))
         missed = tested.where("NOT linked").select("a", "b")
         if missed.isEmpty():
             break
         failed = missed if failed is None else failed.unionByName(missed)
         # from the fourth round on all pairs that are left are given at once
         most = {1: 8, 8: 64}.get(most, 0)
-        # what was not in a pair with a failing one needs no more tests
-        loose = components(tested.select("a", "b").unionByName(edges.select("a", "b")))
-        again = loose.join(missed.select(F.col("b").alias("class")), "class", "left_semi").select("comp").distinct()
-        heads = loose.select("class", "comp").unionByName(loose.select(F.col("comp").alias("class"), "comp")).distinct()
-        active = stage(active.join(heads.join(again, "comp", "left_semi"), "class", "left_semi"))
+        # a component without a failed pair needs no more tests
+        ends = missed.select(F.col("a").alias("class")).unionByName(missed.select(F.col("b").alias("class"))).distinct()
+        comp = F.coalesce("comp", "class")
+        again = ends.join(comps, "class", "left").select(comp.alias("_comp")).distinct()
+        active = stage(active.join(comps, "class", "left").withColumn("_comp", comp).join(
+            again, "_comp", "left_semi").select(*active.columns))
     all_rows = found.join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     least = all_rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("_least"))
     return all_rows.join(least, "comp", "left").select(

@@ -201,6 +201,15 @@ def test_jaccard_components(spark, monkeypatch, tile):
     assert sorted(map(tuple, found)) == brute_components(rows)
 
 
+def test_components_of_paths_and_stars(spark):
+    chain = list(range(1, 90))
+    random.Random(3).shuffle(chain)
+    edges = [*zip(chain, chain[1:]), *((100, k) for k in range(101, 140)), (7, 7), (200, 201), (201, 200)]
+    found = jaccard.components(spark.createDataFrame(edges, "a long, b long").repartition(6))
+    want = [(k, 1) for k in range(2, 90)] + [(k, 100) for k in range(101, 140)] + [(201, 200)]
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_one_of_each(odd):
     rows = jaccard.one_of_each(odd).collect()
     assert Counter((r.doc_id, r.text) for r in rows) == Counter(set((r.doc_id, r.text) for r in odd.collect()))

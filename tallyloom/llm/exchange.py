@@ -18,6 +18,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tallyloom.llm.rows import arrow_schema, slices
 
+#: Keys that a task packs at a time; the last document of them may have more.
+AT_ONCE = 1 << 20
 PACKED = "bucket long, owners binary, counts binary, keys binary"
 ANSWER = "owner long, bucket long, bits binary"
 
@@ -26,10 +28,11 @@ def pack_rows(keys: np.ndarray, counts: np.ndarray, owners: np.ndarray, buckets:
               width: type = np.uint64) -> dict[str, list]:
     """Rows of ``PACKED`` for one slice: ``counts`` keys for each of ``owners``, one after the other.
     ``width`` uint32 keeps only half of each key, for tests that may err to one side."""
-    of = (keys % np.uint64(buckets)).astype(np.int64)
-    owner = np.repeat(np.arange(len(owners)), counts)
+    of = (keys % np.uint64(buckets)).astype(np.int32)
+    owner = np.repeat(np.arange(len(owners), dtype=np.int32), counts)
     order = np.argsort(of, kind="stable")
     of, owner, keys = of[order], owner[order], keys[order]
+    del order
     if width is np.uint32:
         keys = keys >> np.uint64(32)
     keys = keys.astype(width)

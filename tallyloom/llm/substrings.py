@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyloom.llm.exchange import (
-    PACKED, answers, bucket_count, collected, exchanged, flags_from, full_texts, groups_of,
+    AT_ONCE, PACKED, answers, bucket_count, collected, exchanged, flags_from, full_texts, groups_of,
     held_by_several, lists, pack_rows, small_texts)
 from tallyloom.llm.rows import WordHashes, arrow_schema, mix, slices, windows
 from tallyloom.operators.staging import stage
@@ -108,21 +108,28 @@ def _shared_symbols(keyed: DataFrame, buckets: int, window: int) -> DataFrame:
 
     def emit(batches):
         hashes = WordHashes()
-        for batch in batches:
-            keys, counts, owners = [], [], []
-            for part in slices([batch], TOGETHER):
-                words = [hashes(t.split()) if t and i is not None else np.zeros(0, np.uint64)
-                         for t, i in zip(part.column("text").cast(pa.binary()).to_pylist(),
-                                         part.column("doc_id").to_pylist())]
-                words = [w if len(w) >= window else w[:0] for w in words]
-                names, count, _ = _symbol_keys(words)
-                keys.append(names)
-                counts.append(count)
-                owners += part.column("_row").to_pylist()
-            if owners:
-                rows = pack_rows(np.concatenate(keys), np.concatenate(counts),
-                                 np.array(owners, np.int64), buckets, np.uint32)
-                yield pa.RecordBatch.from_pydict(rows, schema=schema)
+        keys, counts, owners = [], [], []
+
+        def packed():
+            rows = pack_rows(np.concatenate(keys), np.concatenate(counts),
+                             np.array(owners, np.int64), buckets, np.uint32)
+            for held in (keys, counts, owners):
+                held.clear()
+            return pa.RecordBatch.from_pydict(rows, schema=schema)
+
+        for part in slices(batches, TOGETHER):
+            words = [hashes(t.split()) if t and i is not None else np.zeros(0, np.uint64)
+                     for t, i in zip(part.column("text").cast(pa.binary()).to_pylist(),
+                                     part.column("doc_id").to_pylist())]
+            words = [w if len(w) >= window else w[:0] for w in words]
+            names, count, _ = _symbol_keys(words)
+            keys.append(names)
+            counts.append(count)
+            owners += part.column("_row").to_pylist()
+            if sum(map(len, keys)) >= AT_ONCE:
+                yield packed()
+        if owners:
+            yield packed()
 
     return exchanged(keyed.mapInArrow(emit, PACKED), held_by_several, np.uint32)
 
@@ -165,23 +172,29 @@ def _older_windows(marked: DataFrame, buckets: int, window: int) -> DataFrame:
 
     def emit(batches):
         hashes = WordHashes()
-        for batch in batches:
-            keys, places, at = [], [], 0
-            for part in slices([batch], TOGETHER):
-                for _, _, _, found, _ in _compared(part, hashes, buckets, window):
-                    if len(found):
-                        keys.append(found)
-                        places.append(at)
-                    at += 1
-            if keys:
-                counts = np.array([len(k) for k in keys])
-                rows = pack_rows(np.concatenate(keys), counts, np.array(places, np.int64), buckets)
-                owners = batch.column("_row").to_numpy()
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                held = [np.frombuffer(o, np.int64) for o in rows["owners"]]
-                rows["owners"] = [owners[h].tobytes() for h in held]
-                rows["ids"] = [ids[h].astype(np.int64).tobytes() for h in held]
-                yield pa.RecordBatch.from_pydict(rows, schema=schema)
+        keys, owners, ids = [], [], []
+
+        def packed():
+            rows = pack_rows(np.concatenate(keys), np.array([len(k) for k in keys]),
+                             np.arange(len(keys)), buckets)
+            held = [np.frombuffer(o, np.int64) for o in rows["owners"]]
+            row, doc = np.array(owners, np.int64), np.array(ids, np.int64)
+            rows |= {"owners": [row[h].tobytes() for h in held], "ids": [doc[h].tobytes() for h in held]}
+            for done in (keys, owners, ids):
+                done.clear()
+            return pa.RecordBatch.from_pydict(rows, schema=schema)
+
+        for part in slices(batches, TOGETHER):
+            found = [k for _, _, _, k, _ in _compared(part, hashes, buckets, window)]
+            for own, row, doc_id in zip(found, part.column("_row").to_pylist(), part.column("doc_id").to_pylist()):
+                if len(own):
+                    keys.append(own)
+                    owners.append(row)
+                    ids.append(doc_id)
+            if sum(map(len, keys)) >= AT_ONCE:
+                yield packed()
+        if keys:
+            yield packed()
 
     def answer(keys, owners, counts, bucket, table):
         ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)

@@ -39,13 +39,13 @@ def ref(name: str) -> Column:
 def require(df: DataFrame, *names: str) -> None:
     for name in names:
         if name not in df.columns:
-            raise ValueError(f"Column '{name}' does not exist.")
+            raise ValueError(f"The table has no column '{name}'.")
 
 
 def require_number(df: DataFrame, name: str, what: str) -> None:
     require(df, name)
     if not is_number(df.schema[name].dataType):
-        raise ValueError(f"{what} requires numeric column.")
+        raise ValueError(f"{what} needs a column of numbers, '{name}' is none.")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

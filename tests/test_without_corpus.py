@@ -4,6 +4,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 CHECK = """
@@ -15,10 +17,12 @@ print(len(names))
 """
 
 
-def test_entry_without_corpus_subpackage(tmp_path):
+@pytest.mark.parametrize("pipeline_too", [False, True])
+def test_entry_without_corpus_subpackage(tmp_path, pipeline_too):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.json", "*.txt", "llm"))
-    (copy / "corpus_pipeline.py").unlink()
+    if pipeline_too:
+        (copy / "corpus_pipeline.py").unlink()
     assert not (copy / "tallyloom" / "llm").exists()
     done = subprocess.run([sys.executable, "-c", CHECK], cwd=copy, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr

@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, fingerprints, jaccard, packing, privacy, quality, secrets, substrings, toxicity, warc
+from tallyloom.llm import (
+    bpe, fingerprints, jaccard, merkle, packing, privacy, quality, secrets, substrings, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,3 +101,77 @@ def op9_fingerprints(spark, folder):
 def op10_pii(spark, folder):
     found = privacy.pseudonymized(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
+def _merkle_sql(levels: int = 8, upper_levels: int = 4) -> str:
+    """DuckDB SQL of ``op11_merkle``: trees of at most 16**levels leaves per source and
+    16**upper_levels sources, written out level by level."""
+    fan = merkle.FAN
+
+    def field(x):
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    bit = "xor(c, CASE WHEN i % 8 = 0 THEN ascii(CAST(doc_id AS VARCHAR)[i // 8 + 1]) ELSE 0 END)"
+    crc = (f"xor(list_reduce(range(8 * strlen(CAST(doc_id AS VARCHAR))), lambda c, i: CASE WHEN ({bit} & 1) = 1 "
+           f"THEN xor({bit} >> 1, 3988292384) ELSE {bit} >> 1 END, 4294967295::BIGINT), 4294967295)")
+    low = f"CASE WHEN {crc} % {merkle.TAMPER_EVERY} = 0 THEN translate(text, '{merkle.UPPER}', '{merkle.UPPER.lower()}') ELSE text END"
+    parts = [
+        f"d AS (SELECT doc_id, source, {leaf('text')} AS leaf, {leaf(low)} AS tleaf FROM documents)",
+        "p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,"
+        " count(*) OVER (PARTITION BY source) AS total FROM d)",
+        "s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS m"
+        " FROM (SELECT DISTINCT source FROM d))",
+        "n0 AS (SELECT s.tree, p.idx, p.leaf AS digest, p.total, p.doc_id, p.source, p.tleaf"
+        " FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source)",
+    ]
+
+    def level_up(prefix, k):
+        return (f"{prefix}{k} AS (SELECT tree, idx // {fan} AS idx, sha256(string_agg(digest, '' ORDER BY idx)) AS digest,"
+                f" any_value(total) AS total FROM {prefix}{k - 1} WHERE total > {fan ** (k - 1)} GROUP BY tree, idx // {fan})")
+
+    def siblings(prefix, k):
+        frame = f"PARTITION BY tree, idx // {fan} ORDER BY idx"
+        return (f"{prefix}s{k} AS (SELECT tree, idx, 1 AS hit,"
+                f" coalesce(array_to_string(list(digest) OVER ({frame} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), '') AS l,"
+                f" coalesce(array_to_string(list(digest) OVER ({frame} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), ''), '') AS r"
+                f" FROM {prefix}{k} WHERE total > {fan ** k})")
+
+    def tops(prefix, count):
+        return " UNION ALL ".join(
+            f"SELECT tree, digest FROM {prefix}{k} WHERE total <= {fan ** k}" + (f" AND total > {fan ** (k - 1)}" if k else "")
+            for k in range(count + 1))
+
+    parts += [level_up("n", k) for k in range(1, levels + 1)]
+    parts += [siblings("n", k) for k in range(levels)]
+    parts.append(f"sub AS ({tops('n', levels)})")
+    parts.append("u0 AS (SELECT 0 AS tree, sub.tree AS idx, sub.digest, (SELECT count(*) FROM sub) AS total FROM sub)")
+    parts += [level_up("u", k) for k in range(1, upper_levels + 1)]
+    parts += [siblings("u", k) for k in range(upper_levels)]
+    parts.append(f"top AS ({tops('u', upper_levels)})")
+    joins = "".join(
+        f" LEFT JOIN ns{k} ON ns{k}.tree = n0.tree AND ns{k}.idx = n0.idx // {fan ** k}" for k in range(levels))
+    joins += "".join(f" LEFT JOIN us{k} ON us{k}.idx = n0.tree // {fan ** k}" for k in range(upper_levels))
+    hops = [f"ns{k}" for k in range(levels)] + [f"us{k}" for k in range(upper_levels)]
+    cols = ", ".join(f"{h}.hit AS h{i}, {h}.l AS l{i}, {h}.r AS r{i}" for i, h in enumerate(hops))
+    proof = " || ".join(f"coalesce(l{i}, '') || coalesce(r{i}, '')" for i in range(len(hops)))
+    parts.append(
+        f"w AS (SELECT n0.doc_id, n0.source, n0.digest AS leaf, n0.tleaf AS f0, sub.digest AS subroot, {cols},"
+        f" sha256({proof}) AS proof_sha256 FROM n0 JOIN sub ON sub.tree = n0.tree{joins})")
+    for i in range(len(hops)):
+        keep = ", ".join(f"f{i}" if c == "f" else c for c in ["doc_id", "source", "leaf", "subroot", "proof_sha256"])
+        rest = ", ".join(f"h{j}, l{j}, r{j}" for j in range(i + 1, len(hops)))
+        parts.append(
+            f"f{i + 1} AS (SELECT {keep}, CASE WHEN h{i} = 1 THEN sha256(l{i} || f{i} || r{i}) ELSE f{i} END AS f{i + 1}"
+            f"{', ' + rest if rest else ''} FROM {'w' if i == 0 else f'f{i}'})")
+    last = len(hops)
+    return ("WITH " + ",\n".join(parts) +
+            f"\nSELECT doc_id, source, leaf, subroot, (SELECT digest FROM top) AS root, proof_sha256,"
+            f" f{last} AS folded_root, f{last} = (SELECT digest FROM top) AS verified FROM f{last}")
+
+
+@query(_merkle_sql())
+def op11_merkle(spark, folder):
+    return merkle.manifest(table(spark, folder, "documents"))

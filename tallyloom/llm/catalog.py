@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import (
-    bpe, fingerprints, jaccard, merkle, packing, privacy, quality, secrets, substrings, toxicity, warc)
+    bpe, fingerprints, jaccard, merkle, packing, privacy, quality, search, secrets, substrings, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -175,3 +175,31 @@ def _merkle_sql(levels: int = 8, upper_levels: int = 4) -> str:
 @query(_merkle_sql())
 def op11_merkle(spark, folder):
     return merkle.manifest(table(spark, folder, "documents"))
+
+
+def _search_sql() -> str:
+    fold = f"translate(coalesce(text, ''), '{search.UPPER}', '{search.UPPER.lower()}')"
+    terms = f"regexp_extract_all({fold}, '{search.TERM}')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS terms FROM documents),
+dr AS (SELECT r, doc_id, terms, len(terms) AS n FROM d),
+st AS (SELECT count(*) FILTER (WHERE n > 0) AS big_n, coalesce(sum(n), 0) AS big_l FROM dr),
+q AS (SELECT item_id, unnest({terms}) AS term FROM benchmark),
+qt AS (SELECT DISTINCT term FROM q),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM dr) x
+       WHERE term IN (SELECT term FROM qt) GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT qt.term, CAST(floor(1000.0 * ln((2.0 * st.big_n + 2.0) / (2.0 * coalesce(df.df, 0) + 1.0))) AS BIGINT) AS w
+      FROM qt LEFT JOIN df ON df.term = qt.term, st),
+sc AS (SELECT q.item_id, dr.r, any_value(dr.doc_id) AS doc_id,
+              sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (25 + (75 * dr.n * st.big_n) // st.big_l))))::BIGINT AS score
+       FROM q JOIN w ON w.term = q.term JOIN tf ON tf.term = q.term JOIN dr ON dr.r = tf.r, st
+       GROUP BY q.item_id, dr.r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM sc WHERE score > 0) WHERE rank <= {search.TOP}"""
+
+
+@query(_search_sql())
+def op13_search(spark, folder):
+    return search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -114,6 +114,7 @@ class Ranker:
         bound = self.qw.astype(np.float64) @ (present * most).astype(np.float64)  # (I, rows)
         self.bounded += rows
         starts = terms.offsets.to_numpy()
+        starts = starts - starts[0]  # a slice of a batch keeps the batch's offsets
         # exact counts of the query terms, made once per rescored row
         query_code = np.full(len(words), -1, np.int64)
         for c, w in enumerate(words):

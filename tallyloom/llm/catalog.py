@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import (
-    bpe, fingerprints, jaccard, merkle, packing, privacy, quality, search, secrets, substrings, toxicity, warc)
+    bpe, ffd, fingerprints, jaccard, merkle, packing, privacy, quality, search, secrets, substrings, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -203,3 +203,8 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
 @query(_search_sql())
 def op13_search(spark, folder):
     return search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op12_ffd(spark, folder):
+    return ffd.pack(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))

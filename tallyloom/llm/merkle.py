@@ -20,7 +20,9 @@ and a proof for every leaf found by descending the tree from its root.
   for a table of one row.
 
 Every level and every step of the descent is a grouping or a join of at most one row per node;
-no group holds more than ``FAN`` rows, so a hot source is spread like any other. Places within
+no group holds more than ``FAN`` rows, so a hot source is spread like any other. The descent
+stops at parents of leaves: each leaf meets its parent's request (the parent's children and the
+segments above it) in one join and is finished there, so no per-leaf proof is ever shuffled. Places within
 a source come from numbering in blocks (``ordered.row_positions``), never from one ordered group.
 Each level is written to the shared folder, so lost executors recompute one level at most.
 
@@ -61,7 +63,8 @@ def tampered(doc_id: Column, text: Column) -> Column:
 
 def _levels(nodes: DataFrame, total: str) -> tuple[DataFrame, DataFrame]:
     """Group ``nodes`` (tree, idx, digest, and ``total`` nodes of its tree at level 0) level by
-    level. Returns the tops (tree, digest) and the store records (digest, kids)."""
+    level. Returns the tops (tree, digest) and the store records (digest, kids, leafy: the kids
+    are level 0)."""
     spark = nodes.sparkSession
     largest = nodes.agg(F.max(total)).first()[0] or 0
     tops, records, level, width = [], [], nodes, 1
@@ -72,13 +75,12 @@ def _levels(nodes: DataFrame, total: str) -> tuple[DataFrame, DataFrame]:
             break
         runs = level.filter(~alone).groupBy("tree", total, (F.col("idx") / FAN).cast("long").alias("run"))
         kids = F.transform(F.array_sort(F.collect_list(F.struct("idx", "digest"))), lambda k: k["digest"])
-        parents = runs.agg(kids.alias("kids")).select(
+        parents = stage(runs.agg(kids.alias("kids")).select(
             "tree", total, F.col("run").alias("idx"),
-            F.sha2(F.array_join("kids", ""), 256).alias("digest"), "kids")
-        parents = stage(parents)
-        records.append(parents.select("digest", "kids"))
+            F.sha2(F.array_join("kids", ""), 256).alias("digest"), "kids"))
+        records.append(parents.select("digest", "kids", F.lit(width == 1).alias("leafy")))
         level, width = parents.drop("kids"), width * FAN
-    union = records[0] if records else spark.createDataFrame([], "digest string, kids array<string>")
+    union = records[0] if records else spark.createDataFrame([], "digest string, kids array<string>, leafy boolean")
     for r in records[1:]:
         union = union.unionByName(r)
     top = tops[0]
@@ -105,8 +107,8 @@ def manifest(docs: DataFrame) -> DataFrame:
         leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"),
                 tampered(F.col("doc_id"), F.col("text"))).alias("_tampered"))
     spark = docs.sparkSession
-    placed = row_positions(rows.withColumn("_has_src", F.col("_src").isNotNull()),
-                           ["_has_src", "_src", "_id", "_leaf"], "_place")
+    placed = stage(row_positions(rows.withColumn("_has_src", F.col("_src").isNotNull()),
+                                 ["_has_src", "_src", "_id", "_leaf"], "_place"))
     sources = placed.groupBy("_src").agg(
         F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
     ranked = row_positions(sources.withColumn("_has_src", F.col("_src").isNotNull()),
@@ -127,41 +129,58 @@ def manifest(docs: DataFrame) -> DataFrame:
         F.lit(0).alias("tree"), F.col("tree").alias("idx"), F.lit(sources_count).alias("total"), "digest")
     top, upper = _levels(upper_nodes, "total")
     root = top.first()["digest"]
-    store = lower.unionByName(upper).dropDuplicates(["digest"])
+    store = stage(lower.unionByName(upper.withColumn("leafy", F.lit(False))).dropDuplicates(["digest"]))
 
-    # Descent: one request per node on the path, named by its rank digits (tree, idx).
+    # Descent: one request per node on the path, named by its rank digits (tree, idx). It stops
+    # at parents of leaves (and at sources of one leaf), which are finished beside their leaves.
     segment = "struct<left:string,right:string>"
     requests = spark.createDataFrame([(0, 0, root)], "tree long, idx long, digest string").withColumn(
         "segs", F.expr(f"cast(array() as array<{segment}>)"))
-    upper_steps, done = _height(sources_count), []
-    for step in range(upper_steps + _height(ranked.agg(F.max("_n")).first()[0])):
-        joined = requests.join(store, "digest", "left")
-        done.append(joined.filter(F.col("kids").isNull()).drop("kids"))
-        open_ = joined.filter(F.col("kids").isNotNull())
-        picked = open_.select("tree", "idx", "segs", "kids", F.posexplode("kids").alias("j", "digest"))
-        seg = F.struct(
-            F.array_join(F.slice("kids", 1, F.col("j")), "").alias("left"),
-            F.array_join(F.slice("kids", F.col("j") + 2, FAN), "").alias("right"))
+    upper_steps, alone, parents = _height(sources_count), [], []
+    for step in range(max(1, upper_steps + _height(ranked.agg(F.max("_n")).first()[0]))):
+        joined = stage(requests.join(store, "digest", "left"))
+        alone.append(joined.filter(F.col("kids").isNull()).select("tree", "idx", "segs"))
+        parents.append(joined.filter(F.col("leafy")).select("tree", "idx", "kids", "segs"))
+        picked = joined.filter(~F.col("leafy")).select(
+            "tree", "idx", "segs", "kids", F.posexplode("kids").alias("j", "digest"))
         child = F.col("idx") * FAN + F.col("j")
         into_source = F.lit(step == upper_steps - 1)  # the next level holds subroots
         requests = stage(picked.select(
             F.when(into_source, child).otherwise(F.col("tree")).alias("tree"),
             F.when(into_source, F.lit(0)).otherwise(child).cast("long").alias("idx"),
-            "digest", F.concat("segs", F.array(seg)).alias("segs")))
-    done.append(requests)
-    reached = done[0]
-    for d in done[1:]:
-        reached = reached.unionByName(d)
+            "digest", F.concat("segs", F.array(_segment("kids", F.col("j")))).alias("segs")))
+        if requests.isEmpty():
+            break
 
+    below = [leaves.join(a, ["tree", "idx"]).select(*LEAF, "segs") for a in alone]
+    for p in parents:
+        p = p.select(F.col("tree").alias("_tree"), F.col("idx").alias("_parent"), "kids", "segs")
+        at = (F.col("idx") % FAN).cast("int")
+        joined = leaves.join(p, (F.col("tree") == F.col("_tree")) & ((F.col("idx") / FAN).cast("long") == F.col("_parent")))
+        below.append(joined.select(*LEAF, F.concat("segs", F.array(_segment("kids", at))).alias("segs")))
     # proofs were collected root first; folding starts at the leaf
     up = F.reverse("segs")
-    proof = F.sha2(F.array_join(F.transform(up, lambda s: F.concat(s["left"], s["right"])), ""), 256)
-    folded = F.aggregate(up, F.col("_tampered"), lambda acc, s: F.sha2(F.concat(s["left"], acc, s["right"]), 256))
-    tops = subroots.select(F.col("tree").alias("_tree"), F.col("digest").alias("subroot"))
-    joined = leaves.join(reached.withColumnRenamed("digest", "_reached"), ["tree", "idx"])
-    out = joined.join(tops, F.col("tree") == F.col("_tree")).join(
-        ranked.select(F.col("tree").alias("_t"), F.col("_src").alias("source")), F.col("tree") == F.col("_t"))
+    proof = F.sha2(F.array_join(F.transform(up, lambda x: F.concat(x["left"], x["right"])), ""), 256)
+    folded = F.aggregate(up, F.col("_tampered"), lambda acc, x: F.sha2(F.concat(x["left"], acc, x["right"]), 256))
+    done = [b.select("tree", "doc_id", F.col("digest").alias("leaf"), proof.alias("proof_sha256"),
+                     folded.alias("folded_root")) for b in below]
+    reached = done[0]
+    for d in done[1:]:
+        reached = reached.unionByName(d)
+    names = ranked.select(F.col("tree").alias("_t"), F.col("_src").alias("source"))
+    tops = subroots.select(F.col("tree").alias("_tree"), F.col("digest").alias("subroot")).join(
+        names, F.col("_tree") == F.col("_t")).drop("_t")
+    out = reached.join(tops, F.col("tree") == F.col("_tree"))
     return out.select(
-        "doc_id", "source", F.col("digest").alias("leaf"), "subroot", F.lit(root).alias("root"),
-        proof.alias("proof_sha256"), folded.alias("folded_root"),
-        (folded == F.lit(root)).alias("verified"))
+        "doc_id", "source", "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root",
+        (F.col("folded_root") == F.lit(root)).alias("verified"))
+
+
+LEAF = ("tree", "idx", "doc_id", "digest", "_tampered")
+
+
+def _segment(kids: str, at: Column) -> Column:
+    """The unselected children left and right of child ``at`` (from 0)."""
+    return F.struct(
+        F.array_join(F.slice(kids, 1, at), "").alias("left"),
+        F.array_join(F.slice(kids, at + 2, FAN), "").alias("right"))

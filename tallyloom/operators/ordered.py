@@ -18,6 +18,8 @@ from tallyloom.functions.columns import as_number, ref, require
 from tallyloom.operators.staging import stage
 
 SAMPLE_PER_BLOCK = 20
+#: Percentiles: the rank error of the sketch is at most 1 / ACCURACY of a group's values.
+ACCURACY = 10_000
 
 
 def _sorted_key(order: list[str]) -> Column:
@@ -145,8 +147,88 @@ def percentiles(
     by: list[str] | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation: (by, n, lowest, highest, quantiles).
 
-    The values are counted once, kept, and ranked by blocks, so no task holds a group, and the
-    result has the same bits at any size. Groups with no value give NULL."""
+    Selection by bracketing, in two scans and without a shuffle of values. The first scan makes
+    a mergeable quantile sketch per group (``percentile_approx``, rank error at most
+    n / ``ACCURACY``), and reads brackets [lo, hi] at each share minus and plus twice that error.
+    The second counts the values below lo, equal to lo and equal to hi, and keeps only the values
+    strictly between them - some 4n / ``ACCURACY`` per share and group, ties at the ends counted,
+    never kept. The wanted ranks then fall in the bracket, where they are read exactly. Should a
+    bracket miss a rank, that group is ranked by blocks instead (``ranked_percentiles``), so the
+    result is exact in every case and has the same bits at any size. Groups with no value give
+    NULL."""
+    by = list(by or [])
+    require(df, column, *by)
+    values = df.select(*[ref(b).alias(f"_by{i}") for i, b in enumerate(by)], as_number(df, column).alias("_value"))
+    keys = [f"_by{i}" for i in range(len(by))]
+    margin = 2.0 / ACCURACY
+    ends = [x for s in shares for x in (max(0.0, s - margin), min(1.0, s + margin))]
+    sketch = values.groupBy(*keys).agg(
+        F.count("_value").alias("n"), F.min("_value").alias("lowest"), F.max("_value").alias("highest"),
+        F.percentile_approx("_value", F.array(*[F.lit(e) for e in ends]), ACCURACY).alias("_ends"))
+    if keys:  # one row per group; its size decides how Spark joins it
+        joined = values.join(sketch.select(*[F.col(k).alias(f"_s{k}") for k in keys], "_ends"),
+                             F.expr(" AND ".join(f"{k} <=> _s{k}" for k in keys)))
+    else:  # the whole table: one row, read as literals
+        row = sketch.first()
+        sketch = values.sparkSession.createDataFrame([tuple(row)], sketch.schema)
+        joined = values.withColumn("_ends", F.lit(row["_ends"]).cast("array<double>"))
+    v, parts = F.col("_value"), []
+    for i in range(len(shares)):
+        lo, hi = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
+        parts += [
+            F.count(F.when(v < lo, 1)).alias(f"_below{i}"),
+            F.count(F.when(v == lo, 1)).alias(f"_atlo{i}"),
+            F.count(F.when((v == hi) & (hi != lo), 1)).alias(f"_athi{i}"),
+            F.array_sort(F.collect_list(F.when((v > lo) & (v < hi), v))).alias(f"_inside{i}"),
+        ]
+    counted = joined.groupBy(*keys).agg(*parts)
+    if keys:
+        counted = counted.select(*[F.col(k).alias(f"_c{k}") for k in keys], *[c for c in counted.columns if c not in keys])
+        found = sketch.join(counted, F.expr(" AND ".join(f"{k} <=> _c{k}" for k in keys)), "left")
+    else:
+        found = _one_row(sketch, counted)
+    quantiles, misses = [], F.lit(False)
+    for i, share in enumerate(shares):
+        place = F.lit(share) * (F.col("n") - 1)
+        read = []
+        for index in (F.floor(place), F.ceil(place)):
+            below, atlo = F.col(f"_below{i}"), F.col(f"_atlo{i}")
+            inside, athi = F.col(f"_inside{i}"), F.col(f"_athi{i}")
+            lo, hi = F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]
+            after_lo, after_inside = below + atlo, below + atlo + F.size(inside)
+            value = (F.when(index < below, F.lit(None))
+                     .when(index < after_lo, lo)
+                     .when(index < after_inside, F.get(inside, (index - after_lo).cast("int")))
+                     .when(index < after_inside + athi, hi))
+            misses = misses | ((F.col("n") > 0) & value.isNull())
+            read.append(value)
+        quantiles.append(_interpolated(read[0], read[1], place - F.floor(place)))
+    result = found.select(
+        *[F.col(k).alias(b) for k, b in zip(keys, by)], "n", "lowest", "highest",
+        F.when(F.col("n") > 0, F.array(*quantiles)).alias("quantiles"), misses.alias("_missed"))
+    result = stage(result)
+    if not result.filter("_missed").isEmpty():
+        missed = result.filter("_missed").select(*[ref(b).alias(f"_m{i}") for i, b in enumerate(by)])
+        held = F.expr(" AND ".join(f"`{b}` <=> _m{i}" for i, b in enumerate(by))) if by else None
+        again = ranked_percentiles(df.join(missed, held, "left_semi") if by else df, column, shares, by)
+        return result.filter(~F.col("_missed")).drop("_missed").unionByName(again)
+    return result.drop("_missed")
+
+
+def _one_row(sketch: DataFrame, counted: DataFrame) -> DataFrame:
+    """The one row of a whole-table sketch beside the one row of its counts."""
+    row = counted.first()
+    return sketch.select("*", *[F.lit(row[c]).alias(c) for c in counted.columns])
+
+
+def ranked_percentiles(
+    df: DataFrame,
+    column: str,
+    shares: list[float],
+    by: list[str] | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation, as ``percentiles``, by ranking all distinct
+    values in blocks: the values are counted once, kept, and ranked by blocks, so no task holds
+    a group."""
     by = list(by or [])
     require(df, column, *by)
     values = df.select(*[ref(b) for b in by], as_number(df, column).alias("_value"))

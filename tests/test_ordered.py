@@ -120,3 +120,18 @@ def test_few_rows(spark):
     none = one.filter("id > 1")
     assert forward_fill(none, ["v"], ["id"]).count() == 0
     assert percentiles(one, "v", [0.5], None).first()["quantiles"] in (None, [None])
+
+
+def test_percentiles_by_brackets_equal_ranking_by_blocks(spark):
+    from tallyloom.operators import ordered
+
+    rows = ([(1, 5.0)] * 3 + [(1, 7.0), (2, None), (3, 1.0), (None, 2.0), (None, 4.0)]
+            + [(4, 5.0)] * 3000 + [(4, float(i)) for i in range(300)] + [(5, float(i % 17)) for i in range(5000)])
+    df = spark.createDataFrame(rows, "g int, v double")
+    shares = [0.0, 0.1, 0.5, 0.99, 1.0]
+    for by in (["g"], None):
+        bracketed = ordered.percentiles(df, "v", shares, by).collect()
+        ranked = ordered.ranked_percentiles(df, "v", shares, by).collect()
+        assert sorted(map(tuple, bracketed), key=repr) == sorted(map(tuple, ranked), key=repr)
+    [empty] = ordered.percentiles(df.limit(0), "v", [0.5]).collect()
+    assert empty.n == 0 and empty.quantiles is None

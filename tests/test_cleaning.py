@@ -148,3 +148,27 @@ def test_summary_and_overview(tables):
     averaged = overview(tables.orders.select(F.col("o_totalprice").alias("score"), "o_orderstatus"))
     counts = averaged.filter("result = 'share'").agg(F.sum("value")).first()[0]
     assert counts == tables.orders.count()
+
+
+def test_tiled_correlation_equals_expressions_and_reaches_300_columns(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import quality
+
+    monkeypatch.setattr(quality, "TILE", 3)  # several tiles, uneven last one
+    df = spark.range(500).select(
+        (F.col("id") % 7).cast("double").alias("a"),
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") * 2.5).alias("b"),
+        F.lit(4.0).alias("flat"),
+        F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).otherwise(F.sin("id")).alias("nan"),
+        F.when(F.col("id") < 2, F.col("id")).alias("two"),
+        F.lit(None).cast("double").alias("empty"), (F.col("id") * -1.0).alias("down"))
+    plain = df.withColumn("nan", F.when(~F.isnan("nan"), F.col("nan")))
+    tiled = sorted(map(tuple, quality.correlation_matrix(df, df.columns).collect()))
+    by_expressions = sorted(map(tuple, quality.correlation_matrix_by_expressions(plain, df.columns).collect()))
+    assert len(tiled) == 49
+    # a constant column correlates with nothing (the expressions' rounding leaves -0.03 against "nan")
+    assert all(r == 0.0 for a, b, r in tiled if "flat" in (a, b))
+    assert [t for t in tiled if "flat" not in t[:2]] == [t for t in by_expressions if "flat" not in t[:2]]
+    wide = spark.range(300).select(*[(F.col("id") * (k + 1) % 13).cast("double").alias(f"c{k}") for k in range(300)])
+    assert quality.correlation_matrix(wide).count() == 300 * 300

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.catalog.registry import query, rounded
+from tallyloom.catalog.registry import QUERIES, query, rounded
 from tallyloom.functions.fixed import PII_VALUE_PATTERNS
 from tallyloom.operators.privacy import mask_columns, masked_preview, personal_data
 from tallyloom.operators.profiling import (
@@ -12,6 +12,8 @@ from tallyloom.operators.profiling import (
 from tallyloom.operators.quality import (
     correlation_matrix, drift, quality_breakdown, quality_score,
 )
+from tallyloom.operators import sketches
+from tallyloom.operators.staging import new_folder
 from tallyloom.plans.cleanup import clean
 
 
@@ -271,3 +273,35 @@ def drift_between_versions(t):
                      F.col("o_orderkey").cast("string").alias("o_orderkey"),
                      F.col("o_orderpriority").alias("urgency"))
     return drift(old, new)
+
+
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query("Q3, Q4, Q16", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing,
+        count(DISTINCT {c}) AS unique_count FROM orders""" for c in _ORDER_COLUMNS))
+def distinct_counts_by_sketch(t):
+    """Counts of a kept profile: one scan, distinct values from theta sketches (exact here)."""
+    return sketches.kept_profile(t.orders).select("column", "rows", "missing", "unique_count")
+
+
+def _two_versions(t):
+    old = t.orders.drop("o_orderdate")
+    new = old.select("o_custkey", F.nullif("o_orderstatus", F.lit("F")).alias("o_orderstatus"),
+                     (F.col("o_totalprice") * 2).alias("o_totalprice"),
+                     F.col("o_orderkey").cast("string").alias("o_orderkey"),
+                     F.col("o_orderpriority").alias("urgency"))
+    return old, new
+
+
+@query("Q14", QUERIES["drift_between_versions"].sql)
+def drift_from_kept_profiles(t):
+    """Drift read from two kept profiles of the versions; neither table is read by the drift."""
+    old, new = _two_versions(t)
+    folder = new_folder(old.sparkSession)
+    for version in (old, new):
+        sketches.save_profile(sketches.kept_profile(version), folder)
+    spark = old.sparkSession
+    found = sketches.drift(sketches.read_profile(spark, folder, 1), sketches.read_profile(spark, folder, 2))
+    return found.drop("distance")

@@ -172,3 +172,26 @@ def test_tiled_correlation_equals_expressions_and_reaches_300_columns(spark, mon
     assert [t for t in tiled if "flat" not in t[:2]] == [t for t in by_expressions if "flat" not in t[:2]]
     wide = spark.range(300).select(*[(F.col("id") * (k + 1) % 13).cast("double").alias(f"c{k}") for k in range(300)])
     assert quality.correlation_matrix(wide).count() == 300 * 300
+
+
+def test_kept_profiles_count_exactly_and_measure_shift(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import sketches
+
+    old = spark.range(1000).select(F.col("id").cast("double").alias("x"),
+                                   F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") % 7).alias("k"),
+                                   (F.col("id") % 3).cast("string").alias("s"))
+    new = old.select((F.col("x") + 100).alias("x"), "k", F.lit("a").alias("t"))
+    folder = str(tmp_path / "kept")
+    assert [sketches.save_profile(sketches.kept_profile(t), folder) for t in (old, new)] == [1, 2]
+    first = {r["column"]: r for r in sketches.read_profile(spark, folder, 1).collect()}
+    assert (first["x"].unique_count, first["k"].unique_count, first["s"].unique_count) == (1000, 7, 3)
+    assert first["k"].missing == 250
+    found = {r["column"]: r for r in sketches.drift(sketches.read_profile(spark, folder, 1),
+                                                    sketches.read_profile(spark, folder)).collect()}
+    assert found["x"].change == "kept" and found["x"].mean_shift == 100.0
+    assert abs(found["x"].distance - 100 / 999) < 0.03
+    # same values; KLL compaction is random, so a probe may read the next of its 7 values: one step of 6
+    assert found["k"].distance <= 1 / 6 + 1e-9 and found["k"].unique_shift == 0
+    assert found["s"].change == "removed" and found["t"].change == "added"

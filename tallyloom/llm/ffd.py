@@ -1,6 +1,6 @@
 """Packing by first-fit decreasing, run independently in randomised groups of pieces.
 
-A document is its token ids (``packing.load``: a tokenizers file, no special tokens) followed by
+A document is its token ids (a tokenizers file, no special tokens; see ``Encoder``) followed by
 ``end_id``. Documents longer than ``length`` are cut into pieces of ``length`` ids, the last one
 shorter; each id lies in exactly one piece. Pieces are dealt to groups by a hash of their row, so
 neither a long document nor a repeated id makes a large group; the number of groups follows the
@@ -19,23 +19,28 @@ An empty table gives no rows. Extra columns are ignored. Ids are whole numbers.
 """
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tallyloom.llm.packing import load
-from tallyloom.llm.rows import arrow_schema, slices, utf8
+from tallyloom.llm.rows import arrow_schema, slices
 from tallyloom.operators.staging import stage
 
 #: Parameters: sequence length, ids per group, the seed of the deal.
 LENGTH = 4096
 GROUP_IDS = 8 << 20
 SEED = 12
+#: Rows encoded at a time.
+SLICE = 4096
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -71,22 +76,96 @@ def first_fit_decreasing(lengths: np.ndarray, length: int) -> tuple[np.ndarray,
     return sequences, offsets
 
 
+class Encoder:
+    """Ids of a slice of texts by a tokenizers file whose pre-tokens never hold white space
+    (checked against the library in the tests): Arrow splits the slice at ASCII white space and
+    numbers its distinct words; only words not seen before are encoded, and all ids are gathered
+    by word number in one step. At most ``KEPT`` words are remembered."""
+
+    KEPT = 500_000
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.vocabulary = pa.array([], pa.string())   # known words, in the order of start and size
+        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, new: pa.Array) -> None:
+        found = self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)
+        lists = [e.ids for e in found]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        first = len(self.vocabulary)
+        while first + len(new) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.start[first:first + len(new)] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.size[first:first + len(new)] = sizes
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.vocabulary = pa.concat_arrays([self.vocabulary, new])
+
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        return pc.index_in(distinct, value_set=self.vocabulary).to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of text k are ids[offsets[k]:offsets[k + 1]]."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        coded = pc.dictionary_encode(pc.list_flatten(words))
+        distinct, codes = coded.dictionary, coded.indices.to_numpy()
+        place = self._places(distinct)
+        unknown = np.isnan(place)
+        if unknown.any():
+            if len(self.vocabulary) + int(unknown.sum()) > self.KEPT:
+                self._forget()
+                unknown[:] = True
+            self._learn(distinct.filter(pa.array(unknown)))
+            place = self._places(distinct)
+        place = place.astype(np.int64)
+        first, lengths = self.start[place], self.size[place]
+        # ragged gather: every occurrence's ids, in order
+        size = lengths[codes]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        step = np.repeat(first[codes] - (ends - size), size)
+        ids = self.flat[step + np.arange(total)] if total else np.zeros(0, np.uint32)
+        # occurrences per text -> ids per text
+        bounds = words.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        at = np.concatenate([[0], ends])
+        return ids, at[bounds]
+
+
 def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
     """Every piece of every document, with its CRC (the columns of ``PIECES``)."""
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         raise TypeError("doc_id must be a whole number")
-    arrow, end = arrow_schema(PIECES), end_id.to_bytes(4, "little")
+    arrow = arrow_schema(PIECES)
+    end = np.asarray([end_id], np.uint32).astype("<u4").tobytes()
 
     def run(batches):
-        words = load(path)
-        for part in slices(batches):
+        encoder = _encoder(path)
+        for part in slices(batches, SLICE):
+            ids, offsets = encoder.encode(part.column("text"))
+            raw = ids.astype("<u4", copy=False).tobytes()
             out = []
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode_batch(utf8(part))):
-                ids += end
-                total = len(ids) // 4
-                for k, at in enumerate(range(0, len(ids), 4 * length)):
-                    cut = ids[at:at + 4 * length]
-                    out.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut), total))
+            for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                a, b = int(offsets[k]), int(offsets[k + 1])
+                total = b - a + 1
+                for piece, at in enumerate(range(0, total, length)):
+                    upto = min(at + length, total)
+                    body = raw[4 * (a + at):4 * (a + min(upto, b - a))]
+                    crc = zlib.crc32(end, zlib.crc32(body)) if upto == total else zlib.crc32(body)
+                    out.append((doc_id, piece, at, upto - at, crc, total))
             columns = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
@@ -94,6 +173,11 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH) ->
     return texts.mapInArrow(run, PIECES)
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH) -> DataFrame:
     """Every piece with its place: the columns of ``PLACED``."""
     cut = stage(pieces(docs, path, end_id, length)).withColumn("_row", F.monotonically_increasing_id())

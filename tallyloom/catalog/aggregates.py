@@ -12,7 +12,7 @@ from tallyloom.operators.aggregate import aggregate
 from tallyloom.operators.cleaning import drop_duplicate_rows, duplicate_report
 from tallyloom.operators.filters import keep_top_values, top_values
 from tallyloom.operators.staging import shared_folder
-from tallyloom.sources.preview import preview_page, sample_records, sample_rows
+from tallyloom.sources.preview import fenced_page, page_fences, sample_records, sample_rows
 from tallyloom.sources.tables import read_table, union_tables, write_table
 
 
@@ -168,8 +168,20 @@ def most_frequent_names(t):
 @query("S6", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey "
              "LIMIT 50 OFFSET 100")
 def preview_third_page(t):
-    rows, _ = preview_page(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"),
-                           ["o_orderkey"], 3, 50)
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    rows, _ = fenced_page(orders, page_fences(orders, ["o_orderkey"]), 3, 50)
+    return rows
+
+
+@query("S6", """SELECT o_orderkey, o_custkey, o_totalprice FROM (
+    SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r,
+           least(290, ceil(count(*) OVER () / 50.0)) AS shown FROM orders) WHERE r > (shown - 1) * 50 AND r <= shown * 50""")
+def preview_far_page(t):
+    """A page near the end (or the last page of a smaller table), by a page index: only its blocks
+    are read and numbered."""
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    order = ["o_totalprice", "o_orderkey"]
+    rows, _ = fenced_page(orders, page_fences(orders, order), 290, 50)
     return rows
 
 

@@ -135,3 +135,32 @@ def test_percentiles_by_brackets_equal_ranking_by_blocks(spark):
         assert sorted(map(tuple, bracketed), key=repr) == sorted(map(tuple, ranked), key=repr)
     [empty] = ordered.percentiles(df.limit(0), "v", [0.5]).collect()
     assert empty.n == 0 and empty.quantiles is None
+
+
+def test_pages_by_fences_equal_pages_by_row_number(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tallyloom.sources import preview
+
+    monkeypatch.setattr(preview, "FENCE_ROWS", 37)  # many blocks, pages across borders
+    df = spark.range(1000).select(
+        F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 13).alias("k"), F.col("id").alias("u"),
+        (F.col("id") * 1.5).alias("v"))
+    fences = preview.page_fences(df, ["k", "u"])
+    assert len(fences["rows"]) > 20 and sum(fences["rows"]) == 1000
+    for page in (1, 2, 7, 19, 20, 21, 99):
+        fenced, facts = preview.fenced_page(df, fences, page, 50)
+        plain, plain_facts = preview.preview_page(df, ["k", "u"], page, 50)
+        assert facts == plain_facts
+        assert [tuple(r) for r in fenced.collect()] == [tuple(r) for r in plain.collect()]
+
+
+def test_far_page_filters_the_scan(spark):
+    from conftest import DATA, plan_of
+    from tallyloom.sources import preview
+
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey", "o_totalprice")
+    fences = preview.page_fences(orders, ["o_orderkey"])
+    fenced, _ = preview.fenced_page(orders, fences, 25, 50)
+    assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThanOrEqual(o_orderkey" in plan_of(fenced) or \
+        "GreaterThanOrEqual(o_orderkey" in plan_of(fenced)

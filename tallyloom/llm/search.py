@@ -9,7 +9,7 @@ but w is 64-bit integer arithmetic. Each item gets its ``TOP`` best documents wi
 0, equal scores by ascending doc_id (null ids last).
 
 Method: bit-sliced Bloom signatures. A task takes documents a slice at a time and sets, for each
-of its terms, ``HASHES`` bits of ``BITS`` in the slice's signature, stored by bit: one bitmap over
+of its terms (by Spark's 64-bit xxhash64 of the term, made when the terms are staged), ``HASHES`` bits of ``BITS`` in the slice's signature, stored by bit: one bitmap over
 the slice's rows per bit. A query term is possibly present where all its bit slices are set; that
 overestimates presence, never misses it. Weighted slice sums - per item, the sum over its terms of
 the slices times the term's largest possible gain (its weight at the smallest of the document's n
@@ -45,7 +45,7 @@ TOP = 10
 #: Parameters of the signatures: bits per document signature, hash functions per term, rows per slice.
 BITS = 4096
 HASHES = 2
-ROWS = 512
+ROWS = 2048
 #: (item, term) rows sent to the tasks at once.
 QUERY_TERMS = 200_000
 
@@ -54,13 +54,16 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), F.lit(TERM), 0)
 
 
-def bit_positions(terms: list[str] | np.ndarray) -> np.ndarray:
-    """``HASHES`` bit positions per term: (len(terms), HASHES)."""
-    import xxhash
+def hashes_of(terms: Column) -> Column:
+    """64-bit hashes of the terms, made by Spark's xxhash64 (JVM side, once per staged row)."""
+    return F.transform(terms, lambda t: F.xxhash64(t))
 
-    seeds = np.fromiter((xxhash.xxh3_64_intdigest(t.encode()) for t in terms), np.uint64, len(terms))
+
+def bit_positions(hashes: np.ndarray) -> np.ndarray:
+    """``HASHES`` bit positions per 64-bit hash: (len(hashes), HASHES)."""
+    seeds = np.asarray(hashes).astype(np.int64).view(np.uint64)
     return np.stack([(mix(seeds + np.uint64(k)) % np.uint64(BITS)).astype(np.int64)
-                     for k in range(HASHES)], axis=1) if len(terms) else np.zeros((0, HASHES), np.int64)
+                     for k in range(HASHES)], axis=1) if len(seeds) else np.zeros((0, HASHES), np.int64)
 
 
 def gain(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -70,14 +73,13 @@ def gain(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 class Ranker:
     """The exact best ``TOP`` of every item within one task, with bounds from bit slices."""
 
-    def __init__(self, items: np.ndarray, terms: list[str], counts: np.ndarray, weights: np.ndarray,
-                 largest_tf: np.ndarray, n_docs: int, n_terms: int):
+    def __init__(self, items: np.ndarray, terms: list[str], term_hashes: np.ndarray, counts: np.ndarray,
+                 weights: np.ndarray, largest_tf: np.ndarray, n_docs: int, n_terms: int):
         self.items = items                          # item ids, (I,)
-        self.terms = terms                          # query terms, (T,)
-        self.index = {t: i for i, t in enumerate(terms)}
+        self.terms = pa.array(terms, pa.string())   # query terms, (T,)
         self.qw = counts * weights[None, :]         # (I, T): repeats times weight
         self.weights, self.largest_tf = weights, largest_tf
-        self.bits = bit_positions(terms)            # (T, HASHES)
+        self.bits = bit_positions(term_hashes)      # (T, HASHES)
         self.N, self.L = n_docs, n_terms
         self.heaps = [[] for _ in items]            # (score, -order of id) min-heaps, worst first
         self.bounded = self.rescored = 0
@@ -94,18 +96,15 @@ class Ranker:
         elif entry[:2] > heap[0][:2]:
             heapq.heapreplace(heap, entry)
 
-    def slice(self, ids: list, terms: pa.ListArray) -> None:
+    def slice(self, ids: list, terms: pa.ListArray, hashes: pa.ListArray) -> None:
         rows = len(ids)
-        flat = pc.list_flatten(terms)
-        owner = pc.list_parent_indices(terms).to_numpy()
+        owner = pc.list_parent_indices(hashes).to_numpy()
         n = np.diff(terms.offsets.to_numpy()).astype(np.int64)
-        coded = pc.dictionary_encode(flat)
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         # the signature, by bit: one bitmap over the rows per bit position
         signature = np.zeros((BITS, rows), bool)
-        word_bits = bit_positions(words)
+        occurrence_bits = bit_positions(pc.list_flatten(hashes).to_numpy())
         for k in range(HASHES):
-            signature[word_bits[codes, k], owner] = True
+            signature[occurrence_bits[:, k], owner] = True
         present = np.ones((len(self.terms), rows), bool)
         for k in range(HASHES):
             present &= signature[self.bits[:, k]]
@@ -115,10 +114,10 @@ class Ranker:
         self.bounded += rows
         starts = terms.offsets.to_numpy()
         starts = starts - starts[0]  # a slice of a batch keeps the batch's offsets
-        # exact counts of the query terms, made once per rescored row
-        query_code = np.full(len(words), -1, np.int64)
-        for c, w in enumerate(words):
-            query_code[c] = self.index.get(w, -1)
+        # exact counts of the query terms (compared as text), made once per rescored row
+        coded = pc.dictionary_encode(pc.list_flatten(terms))
+        codes = coded.indices.to_numpy()
+        query_code = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.terms), -1).to_numpy().astype(np.int64)
         counted = {}
 
         def exact(i: int, r: int) -> int:
@@ -154,8 +153,8 @@ def ranked(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) ranked for each row of ``queries`` (item_id, text, ...):
     item_id, rank (from 1), doc_id, score; see the module."""
     spark = docs.sparkSession
-    rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), terms_of(F.col("text")).alias("terms"))
-                 .withColumn("_row", F.monotonically_increasing_id()))
+    terms = docs.select(F.col("doc_id").cast("long").alias("doc_id"), terms_of(F.col("text")).alias("terms"))
+    rows = stage(terms.withColumn("hashes", hashes_of(F.col("terms"))).withColumn("_row", F.monotonically_increasing_id()))
     totals = rows.agg(F.count(F.when(F.size("terms") > 0, 1)).alias("N"),
                       F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("L")).first()
     n_docs, n_terms = int(totals["N"]), int(totals["L"])
@@ -174,7 +173,7 @@ def ranked(docs: DataFrame, queries: DataFrame) -> DataFrame:
         held_by = F.coalesce("df", F.lit(0)).cast("double")
         weight = F.floor(F.lit(1000.0) * F.log((2.0 * n_docs + 2.0) / (2.0 * held_by + 1.0))).cast("long")
         table = part.join(stats, "term", "left").select(
-            "item_id", "term", "times", weight.alias("w"),
+            "item_id", "term", F.xxhash64("term").alias("hash"), "times", weight.alias("w"),
             F.coalesce("largest_tf", F.lit(0)).alias("largest_tf")).collect()
         found.append(_search(rows, table, n_docs, n_terms))
     if not found:
@@ -209,17 +208,18 @@ def _search(rows: DataFrame, table: list, n_docs: int, n_terms: int) -> DataFram
     at_term = {t: i for i, t in enumerate(terms)}
     counts = np.zeros((len(items), len(terms)), np.int64)
     weights, largest = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+    term_hashes = np.zeros(len(terms), np.int64)
     for r in table:
         t = at_term[r["term"]]
         counts[at_item[r["item_id"]], t] = r["times"]
-        weights[t], largest[t] = r["w"], r["largest_tf"]
+        weights[t], largest[t], term_hashes[t] = r["w"], r["largest_tf"], r["hash"]
     schema = "item_id long, doc_id long, score long"
 
     def run(batches):
-        ranker = Ranker(items, terms, counts, weights, largest, n_docs, n_terms)
+        ranker = Ranker(items, terms, term_hashes, counts, weights, largest, n_docs, n_terms)
         for part in slices(batches, ROWS):
-            ranker.slice(part.column("doc_id").to_pylist(), part.column("terms"))
+            ranker.slice(part.column("doc_id").to_pylist(), part.column("terms"), part.column("hashes"))
         yield pa.RecordBatch.from_pydict(ranker.best(), schema=pa.schema(
             [("item_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())]))
 
-    return rows.select("doc_id", "terms").mapInArrow(run, schema)
+    return rows.select("doc_id", "terms", "hashes").mapInArrow(run, schema)

@@ -77,6 +77,10 @@ def canonical(kind: str, text: str) -> str:
     return text.casefold()
 
 
+def domain_of(address: str) -> str:
+    return address.rpartition("@")[2]
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) that do not overlap, by start. Kinds of name parts are
     ``given-m``, ``given-f`` and ``surname``."""
@@ -145,14 +149,22 @@ class Surrogates:
                 out.append(made.upper() if c.isupper() else made)
         return "".join(out)
 
-    def of(self, kind: str, value: str, attempt: int = 0) -> str:
-        """The surrogate of an entity in its canonical form, in canonical form too."""
+    @staticmethod
+    def longer(made: str, below: Callable[[int], int], attempt: int) -> str:
+        """Letters set later attempts apart where few short candidates are left."""
+        return made + "".join(LETTERS["latin"][below(26)] for _ in range(attempt // 4))
+
+    def of(self, kind: str, value: str, attempt: int = 0, domain: int = 0) -> str:
+        """The surrogate of an entity in its canonical form, in canonical form too. ``domain`` is
+        the attempt of a mail address' domain."""
         below = self.numbers(kind, value, attempt)
         if kind == "email":
-            local, _, domain = value.partition("@")
-            host, _, top = domain.rpartition(".")
-            # the domain has a stream of its own: addresses of one domain stay so
-            return f"{self.shaped(local, below)}@{self.shaped(host, self.numbers('domain', domain, 0))}.{top}"
+            local, _, host = value.partition("@")
+            # the domain is an entity of its own: addresses of one domain stay so
+            return f"{self.longer(self.shaped(local, below), below, attempt)}@{self.of('domain', host, domain)}"
+        if kind == "domain":
+            host, _, top = value.rpartition(".")
+            return f"{self.longer(self.shaped(host, below), below, attempt)}.{top}"
         if kind == "ip":
             if ipaddress.ip_address(".".join(str(int(p)) for p in value.split("."))).is_private:
                 return f"10.{below(256)}.{below(256)}.{1 + below(254)}"
@@ -161,7 +173,7 @@ class Surrogates:
             names = GIVEN[script_of(value), kind[-1]]
             made = names[below(len(names))]
             if attempt:  # the list is short: a second part sets later ones apart
-                made += "-" + self.surname(script_of(value), below, 1 + attempt // 8)
+                made += "-" + self.surname(script_of(value), below, attempt)
             return made.casefold()
         if kind == "surname":
             return self.surname(script_of(value), below, 3 + attempt // 4).casefold()
@@ -177,9 +189,9 @@ class Surrogates:
         syllables = SYLLABLES[script]
         return "".join(syllables[below(len(syllables))] for _ in range(count)).capitalize()
 
-    def as_in(self, text: str, kind: str, attempt: int = 0) -> str:
+    def as_in(self, text: str, kind: str, attempt: int = 0, domain: int = 0) -> str:
         """The surrogate in the form of this mention."""
-        made = self.of(kind, canonical(kind, text), attempt)
+        made = self.of(kind, canonical(kind, text), attempt, domain)
         if kind in ("card", "ssn", "phone", "iban"):
             rest = iter(made)
             return "".join(next(rest) if c.isalnum() and (kind == "iban" or c.isdigit()) else c for c in text)
@@ -191,14 +203,18 @@ class Surrogates:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """``_row``, ``kind`` and ``value`` of the distinct entities of each row (``_row``, ``text``)."""
+    """``_row``, ``kind`` and ``value`` of the distinct entities of each row (``_row``, ``text``);
+    the domains of mail addresses are among them."""
     schema = "_row long, kind string, value string"
     arrow = arrow_schema(schema)
 
     def run(batches):
         for part in slices(batches):
-            rows = [(row, *pair) for row, text in zip(part.column("_row").to_pylist(), strings(part))
-                    for pair in sorted({(k, canonical(k, text[a:b])) for a, b, k in entities(text)})]
+            rows = []
+            for row, text in zip(part.column("_row").to_pylist(), strings(part)):
+                own = {(k, canonical(k, text[a:b])) for a, b, k in entities(text)}
+                own |= {("domain", domain_of(value)) for k, value in own if k == "email"}
+                rows += [(row, *pair) for pair in sorted(own)]
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(arrow.names, zip(*rows))), schema=arrow)
 
@@ -206,27 +222,42 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def collisions(found: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Entities (``kind``, ``value``) that need a later ``attempt`` than 0, so that no two have one
-    surrogate and no surrogate is an entity. Given names may share one, as people do."""
-    schema = "kind string, value string, attempt int, made string"
-    real = stage(found.where("kind NOT LIKE 'given%'").select("kind", "value").distinct())
+    """Entities (``kind``, ``value``) of all kinds that need a later ``attempt`` than 0, so that no
+    two have one surrogate and no surrogate is an entity. Given names and surnames are one space:
+    none of them gets the surrogate, or is the surrogate, of another. Mail addresses are settled
+    after the domains they are made with."""
+    real = stage(found.select("kind", "value").distinct())
+    late = _late(real.where("kind <> 'email'").withColumn("domain", F.lit(0)), key)
+    domains = late.where("kind = 'domain'").select(F.col("value").alias("_host"), F.col("attempt").alias("domain"))
+    mails = real.where("kind = 'email'").withColumn("_host", F.substring_index("value", "@", -1))
+    mails = mails.join(domains, "_host", "left").select("kind", "value", F.coalesce("domain", F.lit(0)).alias("domain"))
+    return late.unionByName(_late(mails, key))
+
+
+def _late(entities: DataFrame, key: bytes) -> DataFrame:
+    """``kind``, ``value`` and ``attempt`` of the entities (``kind``, ``value``, ``domain``) that can't
+    have their first candidate."""
+    schema = "space string, kind string, value string, domain int, attempt int, made string"
+    name = F.col("kind").startswith("given") | (F.col("kind") == "surname")
+    real = stage(entities.withColumn("space", F.when(name, "name").otherwise(F.col("kind"))))
 
     def make(rows: DataFrame) -> DataFrame:
         def work(part):
             own = Surrogates(key)
-            kind, value, attempt = (part.column(c).to_pylist() for c in ("kind", "value", "attempt"))
-            return {"kind": kind, "value": value, "attempt": attempt,
-                    "made": [own.of(*x) for x in zip(kind, value, attempt)]}
+            kept = {c: part.column(c).to_pylist() for c in ("space", "kind", "value", "domain", "attempt")}
+            return kept | {"made": [own.of(*x) for x in zip(
+                kept["kind"], kept["value"], kept["attempt"], kept["domain"])]}
 
         return map_slices(rows, work, schema, 8192)
 
-    now = make(real.withColumn("attempt", F.lit(0)))
-    now = stage(now)
+    now = stage(make(real.withColumn("attempt", F.lit(0))))
+    taken = real.select("space", F.col("value").alias("made"), F.lit(True).alias("real")).distinct()
     while True:
-        first = now.groupBy("kind", "made").agg(F.min("value").alias("first"), F.count("*").alias("n"))
-        taken = real.select("kind", F.col("value").alias("made"), F.lit(True).alias("real"))
-        held = now.join(first.where("n > 1").drop("n"), ["kind", "made"], "left").join(taken, ["kind", "made"], "left")
-        again = stage(held.where("real OR value <> first").select("kind", "value", "attempt"))
+        own = F.struct("kind", "value")
+        first = now.groupBy("space", "made").agg(F.min(own).alias("first"), F.count("*").alias("n"))
+        held = now.join(first.where("n > 1").drop("n"), ["space", "made"], "left").join(taken, ["space", "made"], "left")
+        again = stage(held.where(F.col("real") | (own != F.col("first"))).select(
+            "space", "kind", "value", "domain", "attempt"))
         if again.isEmpty():
             return now.where("attempt > 0").select("kind", "value", "attempt")
         later = make(again.withColumn("attempt", F.col("attempt") + 1))
@@ -262,7 +293,9 @@ def pseudonymized(docs: DataFrame, key: bytes = KEY, id_column: str = "doc_id",
                 out, at = [], 0
                 for a, b, kind in found:
                     old = text[a:b]
-                    out += [text[at:a], own_key.as_in(old, kind, attempts.get((kind, canonical(kind, old)), 0))]
+                    value = canonical(kind, old)
+                    domain = attempts.get(("domain", domain_of(value)), 0) if kind == "email" else 0
+                    out += [text[at:a], own_key.as_in(old, kind, attempts.get((kind, value), 0), domain)]
                     at = b
                 texts.append("".join([*out, text[at:]]) if found else text)
                 spans.append([{"kind": k, "start": a, "end": b} for a, b, k in found])

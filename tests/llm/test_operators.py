@@ -366,6 +366,19 @@ def test_colliding_surrogates(spark):
     assert len(set(made)) == 60 and not set(made) & set(values)
 
 
+def test_names_and_domains_stay_distinct(spark):
+    given = "James Michael Robert John David William Richard Joseph Thomas Paul Adam Mark Steven Kevin Brian George Edward Ronald".split()
+    texts = [f"Mr. {g} Brown met Mrs. {g}a Brown" for g in given]
+    texts += [f"x@{a}.com" for a in "abcdefghijklmnopqrstuvwxyz"]  # every host of one letter is taken
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r.text for r in privacy.pseudonymized(df).orderBy("doc_id").collect()]
+    names = [n for t in new[:len(given)] for n in re.findall(r"Mrs?\. (\S+)", t)]
+    old = {*given, *(g + "a" for g in given)}
+    assert len(set(names)) == 2 * len(given) and not set(names) & old
+    hosts = [t.partition("@")[2] for t in new[len(given):]]
+    assert len(set(hosts)) == 26 and not set(hosts) & {t.partition("@")[2] for t in texts[len(given):]}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -165,7 +165,9 @@ def percentiles(
     sketch = values.groupBy(*keys).agg(
         F.count("_value").alias("n"), F.min("_value").alias("lowest"), F.max("_value").alias("highest"),
         F.percentile_approx("_value", F.array(*[F.lit(e) for e in ends]), ACCURACY).alias("_ends"))
-    if keys:  # one row per group; its size decides how Spark joins it
+    if keys:  # one row per group, written: the size of its files decides how Spark joins it, so
+        # the values are not dealt by a few groups
+        sketch = stage(sketch)
         joined = values.join(sketch.select(*[F.col(k).alias(f"_s{k}") for k in keys], "_ends"),
                              F.expr(" AND ".join(f"{k} <=> _s{k}" for k in keys)))
     else:  # the whole table: one row, read as literals

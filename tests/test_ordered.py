@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.operators import ordered
 from tallyloom.operators.ordered import (
     cumulative_counts, forward_fill, order_correlation, percentiles, row_positions, with_block,
 )
@@ -164,3 +165,25 @@ def test_far_page_filters_the_scan(spark):
     fenced, _ = preview.fenced_page(orders, fences, 25, 50)
     assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThanOrEqual(o_orderkey" in plan_of(fenced) or \
         "GreaterThanOrEqual(o_orderkey" in plan_of(fenced)
+
+
+def test_values_are_not_dealt_by_group(spark, tmp_path, monkeypatch):
+    """The sketches are written before the join, so a few groups are broadcast whatever the table's size."""
+    path = str(tmp_path / "values")
+    spark.range(200_000).selectExpr("id % 3 AS g", "cast(id * 7919 % 100003 AS double) AS v").write.parquet(path)
+    plans, kept = [], ordered.stage
+
+    def staged(df):
+        plans.append(plan_of(df))
+        return kept(df)
+
+    monkeypatch.setattr(ordered, "stage", staged)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        found = ordered.percentiles(spark.read.parquet(path), "v", [0.5], ["g"]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(found) == 3
+    values = [e.split("ObjectHashAggregate")[-1] for e in plans if "collect_list" in e]
+    assert values and all("BroadcastHashJoin" in e and "SortMergeJoin" not in e for e in values)

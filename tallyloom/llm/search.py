@@ -45,7 +45,9 @@ TOP = 10
 #: Parameters of the signatures: bits per document signature, hash functions per term, rows per slice.
 BITS = 4096
 HASHES = 2
-ROWS = 2048
+ROWS = 256
+#: Rows rescored at once.
+RESCORED = 32
 #: (item, term) rows sent to the tasks at once.
 QUERY_TERMS = 200_000
 
@@ -77,8 +79,10 @@ class Ranker:
                  weights: np.ndarray, largest_tf: np.ndarray, n_docs: int, n_terms: int):
         self.items = items                          # item ids, (I,)
         self.terms = pa.array(terms, pa.string())   # query terms, (T,)
-        self.qw = counts * weights[None, :]         # (I, T): repeats times weight
-        self.weights, self.largest_tf = weights, largest_tf
+        # per item: its terms, and their repeats times weight
+        self.item_terms = [np.flatnonzero(own) for own in counts]
+        self.item_weights = [own[t] * weights[t] for own, t in zip(counts, self.item_terms)]
+        self.largest_tf = largest_tf
         self.bits = bit_positions(term_hashes)      # (T, HASHES)
         self.N, self.L = n_docs, n_terms
         self.heaps = [[] for _ in items]            # (score, -order of id) min-heaps, worst first
@@ -105,39 +109,50 @@ class Ranker:
         occurrence_bits = bit_positions(pc.list_flatten(hashes).to_numpy())
         for k in range(HASHES):
             signature[occurrence_bits[:, k], owner] = True
-        present = np.ones((len(self.terms), rows), bool)
-        for k in range(HASHES):
+        present = signature[self.bits[:, 0]]
+        for k in range(1, HASHES):
             present &= signature[self.bits[:, k]]
         m = 25 + (75 * n * self.N) // max(self.L, 1)
-        most = gain(np.minimum(self.largest_tf[:, None], n[None, :]), m[None, :])
-        bound = self.qw.astype(np.float64) @ (present * most).astype(np.float64)  # (I, rows)
+        # the largest possible gain, (T, rows), in doubles: not below the whole number
+        tf = np.minimum(self.largest_tf[:, None], n[None, :]).astype(np.float64)
+        most = 1000 * tf
+        most += 8.0 * m
+        np.divide(1e9 * tf, most, out=most)
+        most *= present
+        del tf
+        bounds = [w.astype(np.float64) @ most[t] for t, w in zip(self.item_terms, self.item_weights)]
+        del most, present, signature
         self.bounded += rows
-        starts = terms.offsets.to_numpy()
-        starts = starts - starts[0]  # a slice of a batch keeps the batch's offsets
-        # exact counts of the query terms (compared as text), made once per rescored row
+        # rows that some item can't exclude; + 1: bounds are sums of doubles
+        left = [np.flatnonzero((b > 0) & (b + 1 >= self.floor(i))) for i, b in enumerate(bounds)]
+        wanted = np.zeros(rows, bool)
+        for mine in left:
+            wanted[mine] = True
+        if not wanted.any():
+            return
+        # exact counts of the query terms (compared as text) in these rows
         coded = pc.dictionary_encode(pc.list_flatten(terms))
-        codes = coded.indices.to_numpy()
         query_code = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.terms), -1).to_numpy().astype(np.int64)
-        counted = {}
-
-        def exact(i: int, r: int) -> int:
-            if r not in counted:
-                mine = query_code[codes[starts[r]:starts[r + 1]]]
-                mine = mine[mine >= 0]
-                counted[r] = np.bincount(mine, minlength=len(self.terms))
-                self.rescored += 1
-            tf = counted[r]
-            return int((self.qw[i] * gain(tf, m[r])).sum())
-
-        for i in range(len(self.items)):
-            order = np.argsort(-bound[i], kind="stable")
-            for r in order:
-                b = bound[i, r]
-                if b <= 0 or b + 1 < self.floor(i):  # + 1: bounds are sums of doubles
+        code = query_code[coded.indices.to_numpy()]
+        kept = (code >= 0) & wanted[owner]
+        place = np.cumsum(wanted) - 1
+        width = int(wanted.sum())
+        held = np.bincount(code[kept] * width + place[owner[kept]], minlength=len(self.terms) * width)
+        held = held.reshape(len(self.terms), width)
+        self.rescored += width
+        for i, mine in enumerate(left):
+            bound = bounds[i]
+            order = mine[np.argsort(-bound[mine], kind="stable")]
+            for at in range(0, len(order), RESCORED):
+                some = order[at:at + RESCORED]
+                some = some[bound[some] + 1 >= self.floor(i)]
+                if not len(some):
                     break
-                score = exact(i, r)
-                if score > 0:
-                    self.offer(i, score, ids[r])
+                tf = held[self.item_terms[i][:, None], place[some][None, :]]
+                scores = self.item_weights[i] @ gain(tf, m[some][None, :])
+                for r, score in zip(some.tolist(), scores.tolist()):
+                    if score > 0 and score >= self.floor(i):
+                        self.offer(i, score, ids[r])
 
     def best(self) -> dict:
         out = {"item_id": [], "doc_id": [], "score": []}

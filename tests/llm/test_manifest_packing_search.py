@@ -215,5 +215,24 @@ def test_search_odd_rows(spark, odd_docs):
     assert search.ranked(odd_docs.limit(0), items).count() == 0
 
 
+def test_a_slice_of_the_search_stays_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, count = np.random.default_rng(4), 4000
+    names = [f"t{i}" for i in range(count)]
+    asked = (rng.random((50, count)) < 0.01).astype(np.int64)
+    hashes = rng.integers(-1 << 62, 1 << 62, count)
+    ranker = search.Ranker(np.arange(50), names, hashes, asked, np.full(count, 900), np.full(count, 9), 10_000, 400_000)
+    held = [rng.integers(0, count, 40) for _ in range(search.ROWS)]
+    terms, own = pa.array([[names[i] for i in h] for h in held]), pa.array([hashes[h] for h in held], pa.list_(pa.int64()))
+    tracemalloc.start()
+    ranker.slice(list(range(search.ROWS)), terms, own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
 def test_queries_registered():
     assert {"op11_merkle", "op12_ffd", "op13_search"} <= set(QUERIES)

@@ -257,6 +257,28 @@ def test_toxicity_of_odd_inputs(spark, odd):
     assert toxicity.scored(odd, some).count() == odd.count()
 
 
+def test_equal_bags_share_one_search(monkeypatch):
+    rng = np.random.default_rng(3)
+    dense = rng.random((900, 30)) * (rng.random((900, 30)) < 0.2)
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    lists = [(np.flatnonzero(dense[:, t]), dense[np.flatnonzero(dense[:, t]), t]) for t in range(30)]
+    ids = np.arange(900)
+    ids[:3] = 0  # several examples of one id
+    index = toxicity.Index({f"t{i}": i for i in range(30)}, np.ones(30), ids, (ids % 3 == 0).astype(float), lists)
+    words, asked, nearest = Counter({"t1": 2, "t5": 1, "t9": 1}), [], index.nearest
+    monkeypatch.setattr(index, "nearest", lambda *x: asked.append(1) or nearest(*x))
+    own, weights = index.vector(words)
+    scores = dense[:, list(own)] @ weights
+    for without in (None, int(np.argmax(scores)), 7, 11, 0):
+        kept = np.flatnonzero((scores > 0) & (ids != (-1 if without is None else without)))
+        want = kept[np.lexsort((kept, -scores[kept]))][:toxicity.NEIGHBOURS]
+        power = scores[want] ** 2
+        share, evidence = index.vote(words, without)
+        assert share == pytest.approx((power @ index.toxic[want]) / (power.sum() + 1))
+        assert [e["doc_id"] for e in evidence] == ids[want[:3]].tolist()
+    assert len(asked) == 2  # one for all of them, one for the repeated id
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(2)
     terms = {f"t{i}": i for i in range(40)}

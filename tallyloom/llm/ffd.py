@@ -20,6 +20,7 @@ An empty table gives no rows. Extra columns are ignored. Ids are whole numbers.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -80,9 +81,17 @@ class Encoder:
     """Ids of a slice of texts by a tokenizers file whose pre-tokens never hold white space
     (checked against the library in the tests): Arrow splits the slice at ASCII white space and
     numbers its distinct words; only words not seen before are encoded, and all ids are gathered
-    by word number in one step. At most ``KEPT`` words are remembered."""
+    by word number in one step. At most ``KEPT`` words are remembered. Where the file lower-cases
+    and cuts between letters and marks (``FOLDED``), words are cut before marks at their end, and
+    words of ``PLAIN`` letters lower-cased, so that fewer differ."""
 
     KEPT = 500_000
+    #: Normalizer and pattern of the files whose words may be folded.
+    FOLDED = (["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: Letters that no normal form changes and whose lower case is one letter.
+    LETTER = "A-Za-z0-9À-ÖØ-öø-ÿА-яЁё"
+    PLAIN = f"^[!-~{LETTER}]+$"
+    MARKS = '[.,;:!?)"]+$'
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,18 +100,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.folds = self._of(path) == self.FOLDED
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.last[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith(suffix)]] = True
         self._forget()
 
+    @staticmethod
+    def _of(path: str) -> tuple[list[str], str | None]:
+        """The names of the normalizers and the pattern of the first cut."""
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        steps = (held.get("normalizer") or {}).get("normalizers") or []
+        cut = ((held.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        return [step["type"] for step in steps], (cut.get("pattern") or {}).get("Regex")
+
+    def _parts(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each word as its folded start and the marks at its end."""
+        none = pa.array(np.full(len(words), "", object), pa.string())
+        if not self.folds:
+            return words, none
+        starts = pc.replace_substring_regex(words, f"([{self.LETTER}]){self.MARKS}", r"\1")
+        cut = pc.not_equal(pc.binary_length(starts), pc.binary_length(words))
+        marks = pc.extract_regex(words.filter(cut), f"(?P<marks>{self.MARKS[:-1]})$")
+        ends = pc.replace_with_mask(none, cut, pc.struct_field(marks, "marks"))
+        return pc.if_else(pc.match_substring_regex(starts, self.PLAIN), pc.utf8_lower(starts), starts), ends
+
     def _forget(self) -> None:
         self.vocabulary = pa.array([], pa.string())   # known words, in the order of start and size
         self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, new: pa.Array) -> None:
-        found = self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after another, and how many each has."""
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         lists = [e.ids for e in found]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encoded``, for words of letters alone in a file that marks the last id of each:
+        some hundred words are encoded as one text."""
+        texts = [" ".join(words[a:a + 256]) for a in range(0, len(words), 256)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32)
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) != len(words) or len(ids) and ends[-1] != len(ids) - 1:
+            return self._encoded(words)
+        return ids, np.diff(ends, prepend=-1)
+
+    def _learn(self, new: pa.Array) -> None:
+        if self.folds and self.last.any():
+            plain = pc.match_substring_regex(new, f"^[{self.LETTER.replace('0-9', '')}]+$")
+            other = new.filter(pc.invert(plain))
+            new = new.filter(plain)
+            found = [self._together(new.to_pylist()), self._encoded(other.to_pylist())]
+            ids, sizes = (np.concatenate(x) for x in zip(*found))
+            new = pa.concat_arrays([new, other])
+        else:
+            ids, sizes = self._encoded(new.to_pylist())
         first = len(self.vocabulary)
         while first + len(new) > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
@@ -117,11 +174,21 @@ class Encoder:
     def _places(self, distinct: pa.Array) -> np.ndarray:
         return pc.index_in(distinct, value_set=self.vocabulary).to_numpy(zero_copy_only=False)
 
+    @staticmethod
+    def _gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ragged gather: ``size`` ids from ``first`` on, one after another, and where each ends."""
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        step = np.repeat(first - (ends - size), size)
+        return (flat[step + np.arange(total)] if total else np.zeros(0, np.uint32)), ends
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of text k are ids[offsets[k]:offsets[k + 1]]."""
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         coded = pc.dictionary_encode(pc.list_flatten(words))
-        distinct, codes = coded.dictionary, coded.indices.to_numpy()
+        codes = coded.indices.to_numpy()
+        parts = pc.dictionary_encode(pa.concat_arrays(self._parts(coded.dictionary)))
+        distinct = parts.dictionary
         place = self._places(distinct)
         unknown = np.isnan(place)
         if unknown.any():
@@ -130,14 +197,12 @@ class Encoder:
                 unknown[:] = True
             self._learn(distinct.filter(pa.array(unknown)))
             place = self._places(distinct)
-        place = place.astype(np.int64)
-        first, lengths = self.start[place], self.size[place]
-        # ragged gather: every occurrence's ids, in order
-        size = lengths[codes]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        step = np.repeat(first[codes] - (ends - size), size)
-        ids = self.flat[step + np.arange(total)] if total else np.zeros(0, np.uint32)
+        # the ids of the slice's distinct words, start and end together
+        place = place.astype(np.int64)[parts.indices.to_numpy()].reshape(2, -1).T.ravel()
+        flat, _ = self._gathered(self.flat, self.start[place], self.size[place])
+        size = self.size[place].reshape(-1, 2).sum(axis=1)
+        # every occurrence's ids, in order
+        ids, ends = self._gathered(flat, (np.cumsum(size) - size)[codes], size[codes])
         # occurrences per text -> ids per text
         bounds = words.offsets.to_numpy()
         bounds = bounds - bounds[0]
@@ -153,9 +218,9 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH) ->
     end = np.asarray([end_id], np.uint32).astype("<u4").tobytes()
 
     def run(batches):
-        encoder = _encoder(path)
+        words = encoder(path)
         for part in slices(batches, SLICE):
-            ids, offsets = encoder.encode(part.column("text"))
+            ids, offsets = words.encode(part.column("text"))
             raw = ids.astype("<u4", copy=False).tobytes()
             out = []
             for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
@@ -174,7 +239,8 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH) ->
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
+def encoder(path: str) -> Encoder:
+    """The encoder that a worker keeps from task to task."""
     return Encoder(path)
 
 

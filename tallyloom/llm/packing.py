@@ -10,17 +10,16 @@ id is kept. Texts longer than a sequence are cut into full pieces, the last may
 """
 from __future__ import annotations
 
-import os
 import zlib
 from collections import defaultdict
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.rows import arrow_schema, slices, texts_of, utf8
+from tallyloom.llm.ffd import encoder
+from tallyloom.llm.rows import arrow_schema, slices, texts_of
 from tallyloom.operators.staging import stage
 
 LENGTH = 4096
@@ -30,8 +29,8 @@ OPEN = 1024
 AHEAD = 4096
 #: Tasks whose open sequences meet in the second round.
 TOGETHER = 32
-#: Words whose ids a worker keeps.
-KEPT = 600_000
+#: Rows encoded at a time.
+SLICE = 4096
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECE + ", sequence_id long, offset long"
 
@@ -72,41 +71,6 @@ class BestFit:
         return {s for found in self.by_free.values() for s in found}
 
 
-class Words:
-    """Ids of texts by a tokenizers file whose pre-tokens never hold white space: words between
-    ASCII white space are encoded once and kept."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words = [text.split() for text in texts]
-        needed = set().union(*words)
-        new = list(needed.difference(self.known))
-        if new:
-            if len(self.known) > KEPT:
-                self.known.clear()
-                new = list(needed)
-            found = self.tokenizer.encode_batch_fast(
-                [w.decode() for w in new], add_special_tokens=False)
-            for word, encoding in zip(new, found):
-                self.known[word] = b"".join(i.to_bytes(4, "little") for i in encoding.ids)
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
-
-
-@lru_cache(maxsize=2)
-def load(path: str) -> Words:
-    return Words(path)
-
-
 def pack(
     docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH, open_sequences: int = OPEN,
     ahead: int = AHEAD, id_column: str = "doc_id", text_column: str = "text",
@@ -116,7 +80,7 @@ def pack(
     arrow, end = arrow_schema(schema), end_id.to_bytes(4, "little")
 
     def run(batches):
-        words, task = load(path), TaskContext.get().partitionId()
+        words, task = encoder(path), TaskContext.get().partitionId()
         fit, waiting, placed = BestFit(length, open_sequences, task << 32), [], defaultdict(list)
 
         def settle():
@@ -134,12 +98,16 @@ def pack(
             full = [*columns, [is_open] * len(pieces), [task] * len(pieces)]
             return pa.RecordBatch.from_pydict(dict(zip(names, full)), schema=arrow)
 
-        for part in slices(batches):
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.encode_batch(utf8(part))):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * length)):
-                    cut = ids[at:at + 4 * length]
-                    waiting.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
+        for part in slices(batches, SLICE):
+            ids, offsets = words.encode(part.column("text"))
+            raw, offsets = ids.astype("<u4", copy=False).tobytes(), offsets.tolist()
+            for doc_id, a, b in zip(part.column("doc_id").to_pylist(), offsets, offsets[1:]):
+                total = b - a + 1
+                for k, at in enumerate(range(0, total, length)):
+                    upto = min(at + length, total)
+                    crc = zlib.crc32(raw[4 * (a + at):4 * (a + min(upto, b - a))])
+                    crc = zlib.crc32(end, crc) if upto == total else crc
+                    waiting.append((doc_id, k, at, upto - at, crc))
                 if len(waiting) >= ahead:
                     yield settle()
         yield settle()

@@ -163,6 +163,24 @@ def test_ffd_pieces_and_places(spark, odd_docs):
     assert ffd.pack(odd_docs.limit(0), tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_words_are_folded_and_equal_the_library():
+    import random
+
+    import pyarrow as pa
+
+    own, draw = ffd.Encoder(tokenizer("word_bpe_49k.json")), random.Random(1)
+    letters = "aAbBéÉßÄøЖжЁё09.,;:!?)\"'(-_ \u1e96H\u0331 İIΣς日ſ\u1e30…🙂 \n\t's't"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
+    texts += ["it's.", "H\u0331.", "é,", "A\u0301.", "", " ", "a  b", "Ende.\" 'Start' end end, END?!"]
+    ids, offsets = own.encode(pa.array(texts))
+    for k, found in enumerate(own.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[offsets[k]:offsets[k + 1]].tolist() == found.ids
+    ids, offsets = own.encode(pa.array(["Haus", "haus.", "HAUS,", None]))
+    before = len(own.vocabulary)
+    own.encode(pa.array(["hAUS!", "Haus?"]))
+    assert len(own.vocabulary) == before
+
+
 # ---- op13 -------------------------------------------------------------------------------------
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")

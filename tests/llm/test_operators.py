@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DATA
+from conftest import DATA, plan_of
 from tallyloom.llm import (
     bpe, fingerprints, jaccard, packing, privacy, quality, secrets, substrings, toxicity, warc)
 from tallyloom.llm.catalog import QUERIES, tokenizer
@@ -293,6 +293,62 @@ def test_nearest_is_exact():
         assert np.allclose(cosine, want[want > 0][:len(cosine)]) and len(cosine) == (want > 0).sum()
 
 
+def test_searches_made_together_are_exact():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(1, 3, (3000, 150)) * (rng.random((3000, 150)) < np.geomspace(0.5, 0.001, 150))
+    counts[2000:] = counts[rng.integers(0, 40, 1000)]  # many ties
+    bags = [Counter({f"t{t}": int(c[t]) for t in np.flatnonzero(c)}) for c in counts]
+    empty = toxicity.Index({f"t{t}": t for t in range(150)}, np.linspace(1, 4, 150), np.zeros(0, np.int64), np.zeros(0), [])
+    dense = np.zeros((3000, 150))
+    for i, (own, weights) in enumerate(map(empty.vector, bags)):
+        dense[i, list(own)] = weights
+    lists = [(np.flatnonzero(dense[:, t]), dense[np.flatnonzero(dense[:, t]), t]) for t in range(150)]
+    ids, toxic = np.arange(3000), rng.integers(0, 2, 3000).astype(float)
+    index = toxicity.Index(empty.terms, empty.idf, ids, toxic, lists, share=0.2)
+    asked = [*bags[:200], Counter(), Counter({"none": 1}), Counter({"t149": 1})]
+    without = [*range(200), None, None, None]
+    for bag, own_id, (share, evidence) in zip(asked, without, index.votes(asked, without)):
+        own, weights = index.vector(bag)
+        scores = np.zeros(3000)
+        for t, weight in zip(own, weights):
+            scores += weight * dense[:, t]
+        kept = np.flatnonzero((scores > 0) & (ids != (-1 if own_id is None else own_id)))
+        want = kept[np.lexsort((kept, -scores[kept]))][:toxicity.NEIGHBOURS]
+        power = scores[want] ** 2
+        assert share == (pytest.approx((power @ toxic[want] + 0.2) / (power.sum() + 1)) if len(want) else None)
+        assert [e["doc_id"] for e in evidence] == want[:3].tolist()
+        assert (share, evidence) == index.vote(bag, own_id)
+
+
+def test_frequent_terms_do_not_make_a_search_long():
+    # as at 0.5 GB: half of 20 000 examples hold each of some thirty terms
+    rng = np.random.default_rng(5)
+    dense = rng.random((20_000, 40)) * (rng.random((20_000, 40)) < 0.5)
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    lists = [(np.flatnonzero(dense[:, t]), dense[np.flatnonzero(dense[:, t]), t]) for t in range(40)]
+    index = toxicity.Index({f"t{t}": t for t in range(40)}, np.ones(40), np.arange(20_000), np.zeros(20_000), lists)
+    vectors = index.vectors
+    assert vectors.dense.shape[0] == 40 and not vectors.others  # no walk over their postings
+    own, weights = index.vector(Counter({f"t{t}": 1 + t % 3 for t in range(0, 40, 2)}))
+    at, cosine = index.nearest(own, weights, 26)
+    scores = dense[:, list(own)] @ weights
+    want = np.argsort(-scores, kind="stable")[:26]
+    assert at.tolist() == want.tolist() and np.allclose(cosine, scores[want])
+
+
+def test_labels_are_not_broadcast_and_few_examples_reach_the_driver(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('w', id % 7, ' x') AS text")
+    labels = spark.range(400).selectExpr("id AS doc_id", "CAST(id % 3 = 0 AS int) AS toxic")
+    assert "BroadcastHashJoin" not in plan_of(toxicity.labelled(docs, labels))
+    rows = spark.range(0, 5000, 1, 8).selectExpr("id AS doc_id").union(spark.range(50).selectExpr("7 AS doc_id"))
+    by_hash = rows.orderBy(F.xxhash64("doc_id"), "doc_id")
+    for most in (0, 1, 100, 4000, 5050, 9000):
+        chosen = toxicity.least_hashes(rows, most)
+        assert chosen.collect() == by_hash.limit(most).collect()
+    plan = toxicity.least_hashes(rows, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan  # before the limit, of which each task sends its part
+
+
 def brute_removal(rows, size=13):
     first = {}
     for doc_id, text in rows:

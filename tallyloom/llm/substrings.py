@@ -144,14 +144,14 @@ def _marked(keyed: DataFrame, copies: DataFrame, *answered: DataFrame) -> DataFr
 
 def _compared(part: pa.RecordBatch, hashes: WordHashes, buckets: int, window: int):
     """For each row of a slice: its words, whether it is a copy, its windows that were compared (a mask)
-    with their hashes, and the answers about them."""
+    with their hashes, and the answers about them. Where no window has an answer, none is made anew."""
     rows, older = [], "_buckets2" in part.schema.names
     columns = [part.column("doc_id").to_pylist(), full_texts(part), part.column("_copy").to_pylist(),
                *(lists(part, c) for c in ("_buckets1", "_bits1"))]
     columns += [lists(part, c) for c in ("_buckets2", "_bits2")] if older else [[()] * part.num_rows] * 2
     for doc_id, text, copy, *marks in zip(*columns):
         words = text.split()
-        compare = len(words) >= window and doc_id is not None and not copy
+        compare = len(words) >= window and doc_id is not None and not copy and (not older or len(marks[2]) > 0)
         rows.append((words, bool(copy), hashes(words) if compare else np.zeros(0, np.uint64), marks))
     names, count, (low, high, ends) = _symbol_keys([r[2] for r in rows])
     at = 0

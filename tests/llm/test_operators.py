@@ -349,6 +349,36 @@ def test_labels_are_not_broadcast_and_few_examples_reach_the_driver(spark):
     assert "Filter" in plan  # before the limit, of which each task sends its part
 
 
+def test_last_pass_leaves_texts_without_answers_alone():
+    import pyarrow as pa
+    import zstandard
+
+    from tallyloom.llm.rows import WordHashes
+
+    texts = [b" ".join(b"%d" % (k * i) for k in range(40)) for i in range(1, 4)]
+    asked = []
+    none, longs, bits = [[], None, [3]], pa.list_(pa.int64()), pa.list_(pa.binary())
+    part = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2, 3]), pa.array([zstandard.compress(t) for t in texts]), pa.array([None, None, None], pa.bool_()),
+         pa.array([[3]] * 3, longs), pa.array([[b"\xff" * 4]] * 3, bits),
+         pa.array(none, longs), pa.array([[], None, [b"\x80"]], bits)],
+        ["doc_id", "_text", "_copy", "_buckets1", "_bits1", "_buckets2", "_bits2"])
+    rows = list(substrings._compared(part, lambda words: asked.append(words) or WordHashes()(words), 16, 13))
+    assert [words for words, *_ in rows] == [t.split() for t in texts]  # all are still written
+    assert asked == [texts[2].split()]
+
+
+def test_word_hashes_are_those_of_each_word_and_none_is_kept():
+    import xxhash
+
+    from tallyloom.llm.rows import WordHashes
+
+    hashes, words = WordHashes(), [b"", b"a", "é日".encode(), b"a", b"x" * 5000]
+    found = hashes(words)
+    assert found.dtype == np.uint64 and found.tolist() == [xxhash.xxh3_64_intdigest(w) for w in words]
+    assert hashes([]).tolist() == [] and not vars(hashes)
+
+
 def brute_removal(rows, size=13):
     first = {}
     for doc_id, text in rows:

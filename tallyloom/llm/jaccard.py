@@ -4,7 +4,8 @@ components of these links. Exact: no pair is lost.
 * Documents with equal shingle sets are one class from the start.
 * Two similar sets share one of their first ``n - ceil(0.8 n) + 1`` shingles in any common order. The order
   puts frequent shingles last, so passages that many documents share lead no two of them
-  together. A tile holds the classes with one such shingle; a frequent one is cut into tiles
+  together, and among the others those of frequent words, so that few are shared by chance however many
+  documents there are. A tile holds the classes with one such shingle; a frequent one is cut into tiles
   of bounded size, one for each two blocks of classes.
 * Within a tile only sets of fitting size meet. Each carries a bitmap as wide as its size band asks:
   bit i is the parity of its shingles with hash i. The bits in which two bitmaps differ are a lower
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.exchange import (
     PACKED, bucket_count, collected, exchanged, flags_from, full_texts, groups_of, held_by_several, lists,
     pack_rows, small_texts)
-from tallyloom.llm.rows import WordHashes, arrow_schema, map_slices, mix, shingles, slices, texts_of, unused, utf8
+from tallyloom.llm.rows import WordHashes, arrow_schema, map_slices, mix, shingles, slices, texts_of, unused, utf8, windows
 from tallyloom.operators.staging import stage
 
 WORDS, PERCENT = 5, 80
@@ -35,8 +36,12 @@ FREQUENT = 100_000
 #: A block of rows reports the shingles that more than this share of its rows have: one that more
 #: than this share of all rows has is so in some block.
 BLOCK, SHARE, LEAST = 4096, 1 / 1000, 4
+#: Bits of a word's hash by which words are counted.
+WORD_BITS = 16
 #: Classes of a tile.
 TILE = 4096
+#: Classes of a small tile, whose pairs are tested together; pairs tested at a time.
+SMALL, PAIRS = 128, 1 << 18
 BUCKET_KEYS, BYTES_PER_KEY = 5_000_000, 32
 
 
@@ -45,16 +50,27 @@ def needed(n):
     return -(-PERCENT * n // 100)
 
 
-def prefix_of(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles in the common order, and how frequent each is (0: not known to be)."""
+def ranked_shingles(hashes: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of a text by the hashes of its words, and how frequent the words of each are: the sum
+    of their ``ranks``, the same wherever the shingle occurs."""
+    if not len(hashes):
+        return hashes, np.zeros(0, np.int64)
+    size = min(WORDS, len(hashes))
+    tokens, first = np.unique(mix(windows(hashes, size) + np.uint64(size)), return_index=True)
+    total = np.concatenate(([0], np.cumsum(ranks[(hashes & np.uint64(len(ranks) - 1)).astype(np.int64)])))
+    return tokens, total[first + size] - total[first]
+
+
+def prefix_of(tokens: np.ndarray, words: np.ndarray, frequent: np.ndarray,
+              counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles in the common order, and how frequent each is (0: not known to be). Of equally
+    frequent ones those of rarer ``words`` come first."""
     size = len(tokens) - needed(len(tokens)) + 1 if len(tokens) else 0
-    if not len(frequent):
-        return tokens[:size], np.zeros(size, np.int64)
-    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-    count = np.where(frequent[at] == tokens, counts[at], 0)
-    if not count.any():
-        return tokens[:size], count[:size]
-    order = np.lexsort((tokens, count))[:size]
+    count = np.zeros(len(tokens), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+        count = np.where(frequent[at] == tokens, counts[at], 0)
+    order = np.lexsort((tokens, words, count))[:size]
     return tokens[order], count[order]
 
 
@@ -91,46 +107,55 @@ def differ(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.bitwise_count(others ^ one).sum(1, dtype=np.int64)
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``FREQUENT`` shingles that many rows have, sorted, with their counts."""
-    schema = "token long, n long"
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to ``FREQUENT`` shingles that many rows have, sorted, with their counts; and a rank by frequency
+    for each value of the last ``WORD_BITS`` bits of a word's hash."""
+    schema = "is_word boolean, token long, n long"
     arrow = arrow_schema(schema)
 
     def count(batches):
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), np.zeros(1 << WORD_BITS, np.int64)
         for part in slices(batches, BLOCK):
-            tokens = [shingles(hashes(t.lower().split()), WORDS) for t in utf8(part)]
+            words = [hashes(t.lower().split()) for t in utf8(part)]
+            tokens = [shingles(w, WORDS) for w in words]
+            every = np.concatenate([*words, np.zeros(0, np.uint64)]) & np.uint64(len(seen) - 1)
+            seen += np.bincount(every.astype(np.int64), minlength=len(seen))
             found, n = np.unique(np.concatenate([*tokens, np.zeros(0, np.uint64)]), return_counts=True)
             many = n > max(LEAST, SHARE * part.num_rows)
-            yield pa.RecordBatch.from_pydict(
-                {"token": found[many].view(np.int64), "n": n[many]}, schema=arrow)
-
-    top = (docs.mapInArrow(count, schema).groupBy("token").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow())
+            yield pa.RecordBatch.from_pydict({
+                "is_word": np.zeros(many.sum(), bool), "token": found[many].view(np.int64), "n": n[many]}, schema=arrow)
+        held = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict(
+            {"is_word": np.ones(len(held), bool), "token": held, "n": seen[held]}, schema=arrow)
+
+    sums = stage(docs.mapInArrow(count, schema).groupBy("is_word", "token").agg(F.sum("n").alias("n")))
+    top = sums.where("NOT is_word").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     tokens = top.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], top.column("n").to_numpy()[order]
+    words, ranks = sums.where("is_word").toArrow(), np.zeros(1 << WORD_BITS, np.int64)
+    ranks[words.column("token").to_numpy()] = np.rint(8 * np.log2(1 + words.column("n").to_numpy()))
+    return tokens[order], top.column("n").to_numpy()[order], ranks
 
 
 def profiles(docs: DataFrame) -> DataFrame:
     """Per row: its class, number of shingles, tiles and bitmap."""
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs))  # at most FREQUENT numbers
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs))  # at most FREQUENT and 2 ** WORD_BITS numbers
     schema = "doc_id long, row long, class long, n long, tiles binary, bits binary"
     arrow = arrow_schema(schema)
 
     def run(batches):
         import xxhash
 
-        hashes = WordHashes()
+        hashes, (known, counts, ranks) = WordHashes(), frequent.value
         for part in slices(batches):
             rows = {name: [] for name in ("class", "n", "tiles", "bits")}
             for text in utf8(part):
-                tokens = shingles(hashes(text.lower().split()), WORDS)
+                tokens, words = ranked_shingles(hashes(text.lower().split()), ranks)
                 owner = xxhash.xxh3_64_intdigest(tokens.tobytes())
                 rows["class"].append(owner - (1 << 64) if owner >> 63 else owner)
                 rows["n"].append(len(tokens))
-                keys = tile_keys(*prefix_of(tokens, *frequent.value), owner)
+                keys = tile_keys(*prefix_of(tokens, words, known, counts), owner)
                 rows["tiles"].append(keys.tobytes())
                 rows["bits"].append(parity_bits(tokens).tobytes())
             yield pa.RecordBatch.from_pydict(
@@ -168,6 +193,38 @@ def _active(classes: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     return map_slices(joined, work, "class long, n long, row long, tiles binary, bits binary")
 
 
+def _promising(held, start, end, sizes, parent, table, narrow, place_in) -> np.ndarray:
+    """Of the small tiles ``held[start:end]``, which have a pair of different components whose sizes and
+    bitmaps allow a link. The others need no look at each class."""
+    kept = np.zeros(len(start), bool)
+    comp, bounds = np.append(parent[held], 0), np.stack((start, end), 1).ravel()
+    several = (np.minimum.reduceat(comp, bounds) != np.maximum.reduceat(comp, bounds))[::2]
+    for count in np.unique((end - start)[several]).tolist():
+        tiles = np.flatnonzero(several & (end - start == count))
+        i, j = np.triu_indices(count, 1)
+        for at in range(0, len(tiles), max(1, PAIRS // len(i))):
+            some = tiles[at:at + max(1, PAIRS // len(i))]
+            a, b = held[start[some][:, None] + i].ravel(), held[start[some][:, None] + j].ravel()
+            low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+            fine = np.flatnonzero((parent[a] != parent[b]) & (low >= needed(high)))
+            a, b = a[fine], b[fine]
+            least = np.where(narrow[a] <= narrow[b], a, b)
+            other = a + b - least
+            passed = np.zeros(len(fine), bool)
+            for w in np.unique(narrow[least]).tolist():
+                for v in np.unique(narrow[other[narrow[least] == w]]).tolist():
+                    pair = np.flatnonzero((narrow[least] == w) & (narrow[other] == v))
+                    rows = table[v][place_in[other[pair]]]
+                    if v > w:  # the wider ones fold
+                        rows = rows[:, :rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2:]
+                    total = sizes[least[pair]] + sizes[other[pair]]
+                    overlap = -(-PERCENT * total // (100 + PERCENT))
+                    unlike = np.bitwise_count(rows ^ table[w][place_in[least[pair]]]).sum(1, dtype=np.int64)
+                    passed[pair] = unlike <= total - 2 * overlap
+            kept[some[fine[passed] // len(i)]] = True
+    return kept
+
+
 def _meet(keys, owner, sizes, bits, comps, failed, most: int) -> set[tuple[int, int]]:
     """Pairs of one bucket to verify. ``owner``: for each key the place of its class; ``failed``: for each
     place the places it is known not to link with. Linked places are skipped; ``most`` pairs are
@@ -190,15 +247,17 @@ def _meet(keys, owner, sizes, bits, comps, failed, most: int) -> set[tuple[int,
 
     out = set()
     order, start = groups_of(keys)
-    held = owner[order]
-    for a, b in zip(start.tolist(), np.append(start[1:], len(order)).tolist()):
-        if b - a < 2:
+    held, end = owner[order], np.append(start[1:], len(order))
+    small = np.flatnonzero((end - start > 1) & (end - start <= SMALL))
+    wanted = end - start > SMALL
+    if len(small):
+        wanted[small] = _promising(held, start[small], end[small], sizes, parent, table, narrow, place_in)
+    for a, b in zip(start[wanted].tolist(), end[wanted].tolist()):
+        if len({root(i) for i in held[a:b].tolist()}) < 2:
             continue
         members = np.unique(held[a:b])
         roots = np.array([root(i) for i in members.tolist()])
         found, times = np.unique(roots, return_counts=True)
-        if len(found) < 2:
-            continue
         members = members[np.argsort(sizes[members], kind="stable")]
         roots = np.array([root(i) for i in members.tolist()])
         size = sizes[members]

@@ -205,6 +205,54 @@ def test_jaccard_components(spark, monkeypatch, tile):
     assert sorted(map(tuple, found)) == brute_components(rows)
 
 
+@pytest.mark.parametrize("small", [1, 3, 128])
+def test_small_tiles_are_tested_together(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "PAIRS", 7)
+    rng, sets = np.random.default_rng(6), []
+    for i in range(120):
+        kept = sets[i // 2] if i % 3 == 0 and i else rng.integers(0, 1 << 62, rng.integers(20, 200)).astype(np.uint64)
+        sets.append(np.unique(np.concatenate((kept[rng.integers(0, 9):], rng.integers(0, 1 << 62, 3).astype(np.uint64)))))
+    sizes, bits = np.array([len(s) for s in sets]), [jaccard.parity_bits(s).tobytes() for s in sets]
+    keys, owner = np.concatenate(sets), np.repeat(np.arange(120), sizes)
+    chance = rng.integers(0, 40, 600).astype(np.uint64)  # tiles by chance, of up to some twenty classes
+    keys, owner = np.concatenate((keys, chance)), np.concatenate((owner, rng.integers(0, 120, 600)))
+    found = jaccard._meet(keys, owner, sizes, bits, np.arange(120), {}, 0)
+    linked = {(i, j) for j in range(120) for i in range(j)
+              if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+
+    def joined(pairs):
+        parent = list(range(120))
+        for _ in range(120):
+            for i, j in pairs:
+                parent[i] = parent[j] = min(parent[i], parent[j])
+        return parent
+
+    assert linked and joined(found & linked) == joined(linked)
+
+
+def test_tiles_by_chance_cost_no_look_at_each_class(monkeypatch):
+    # as in large inputs: each of many classes shares tiles with unlike ones
+    rng, looks, differ = np.random.default_rng(7), [], jaccard.differ
+    monkeypatch.setattr(jaccard, "differ", lambda *x: looks.append(1) or differ(*x))
+    sets = [np.unique(rng.integers(0, 1 << 62, 100).astype(np.uint64)) for _ in range(2000)]
+    keys = rng.integers(0, 5000, 20_000).astype(np.uint64)
+    found = jaccard._meet(keys, rng.integers(0, 2000, 20_000), np.array([len(s) for s in sets]),
+                          [jaccard.parity_bits(s).tobytes() for s in sets], np.arange(2000), {}, 1)
+    assert not found and len(looks) < 20  # one for each class of each tile before
+
+
+def test_shingles_of_rare_words_lead():
+    ranks = np.zeros(1 << jaccard.WORD_BITS, np.int64)
+    words = jaccard.WordHashes()([b"the", b"of", b"in", b"and", b"to"] * 30 + [b"rare%d" % i for i in range(50)])
+    ranks[(words[:5] & np.uint64(len(ranks) - 1)).astype(np.int64)] = 90
+    tokens, frequency = jaccard.ranked_shingles(words, ranks)
+    assert tokens.tolist() == jaccard.shingles(words, jaccard.WORDS).tolist()
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    lead, _ = jaccard.prefix_of(tokens, frequency, *none)
+    assert 0 < len(lead) < 46 and set(lead.tolist()) <= set(tokens[frequency == 0].tolist())
+
+
 def test_components_of_paths_and_stars(spark):
     chain = list(range(1, 90))
     random.Random(3).shuffle(chain)

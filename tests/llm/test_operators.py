@@ -305,6 +305,41 @@ def test_toxicity_of_odd_inputs(spark, odd):
     assert toxicity.scored(odd, some).count() == odd.count()
 
 
+def test_all_terms_take_part(spark):
+    rng = random.Random(8)
+    texts = {i: " ".join(rng.choices([f"w{k}" for k in range(60)], k=12)) for i in range(80)}
+    toxic = {i: i % 4 == 0 for i in texts}  # no term tells
+    docs = spark.createDataFrame([*texts.items(), (90, "..."), (91, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in toxic.items()], "doc_id long, toxic int")
+    known = [i for i in texts if packing.zlib.crc32(str(i).encode()) % 5]
+    n, t = len(known), sum(toxic[i] for i in known)
+    df = Counter(w for i in known for w in set(texts[i].split()))
+    bad = Counter(w for i in known if toxic[i] for w in set(texts[i].split()))
+
+    def weight(w):
+        cells = [(bad[w], df[w] * t / n), (df[w] - bad[w], df[w] * (n - t) / n),
+                 (t - bad[w], (n - df[w]) * t / n), (n - t - df[w] + bad[w], (n - df[w]) * (n - t) / n)]
+        evidence = 2 * sum(o * np.log(o / e) for o, e in cells if o)
+        return (np.log((1 + n) / (1 + df[w])) + 1) * (1 + evidence)
+
+    def vector(text):
+        found = {w: (1 + np.log(c)) * weight(w) for w, c in Counter(text.split()).items() if w in df}
+        norm = np.sqrt(sum(x * x for x in found.values()))
+        return {w: x / norm for w, x in found.items()}
+
+    index = toxicity.learned(docs, labels)
+    assert sorted(index.terms) == sorted(df) and sorted(index.ids) == sorted(known)
+    vectors = {i: vector(texts[i]) for i in known}
+    for r in toxicity.scored(docs, labels).collect():
+        if r.doc_id in texts:
+            own = vector(texts[r.doc_id])
+            cosines = {i: sum(x * v.get(w, 0) for w, x in own.items()) for i, v in vectors.items()}
+            assert [e.cosine for e in r.evidence] == pytest.approx(sorted(cosines.values())[:-4:-1])
+            assert all(e.cosine == pytest.approx(cosines[e.doc_id]) for e in r.evidence)
+        else:
+            assert r.evidence == [] and r.score == 0
+
+
 def test_equal_bags_share_one_search(monkeypatch):
     rng = np.random.default_rng(3)
     dense = rng.random((900, 30)) * (rng.random((900, 30)) < 0.2)
